@@ -165,3 +165,23 @@ def exact_quantiles(df: DataFrame, by, value: str, probs, name: str = "q", bucke
         return lo + (hi - lo) * (h - F.floor(h))
 
     return found.select(*by, F.transform(at, interpolate).alias(name), F.col("_n").alias("n"))
+
+
+def group_running(df: DataFrame, by, order, bucket: Column, folds: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Running sum or min inside each group: {output: ("sum" | "min", column)}, cut by bucket like ranks."""
+    by = list(by)
+    keys = [*by, "_bucket"]
+    reduce = {"sum": F.sum, "min": F.min}
+    rows = df.withColumn("_bucket", bucket)
+    rows = rows.withColumns({f"_v_{out}": col for out, (_, col) in folds.items()})
+    parts = rows.groupBy(*keys).agg(*[reduce[k](f"_v_{out}").alias(f"_p_{out}") for out, (k, _) in folds.items()])
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = parts.select(*keys, *[reduce[k](f"_p_{out}").over(before).alias(f"_e_{out}") for out, (k, _) in folds.items()])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumns({f"_r_{out}": reduce[k](f"_v_{out}").over(inside) for out, (k, _) in folds.items()})
+    joined = running.join(earlier, keys)
+    for out, (kind, _) in folds.items():
+        now, past = F.col(f"_r_{out}"), F.col(f"_e_{out}")
+        both = now + past if kind == "sum" else F.when(past <= now, past).otherwise(now)
+        joined = joined.withColumn(out, F.when(past.isNull(), now).otherwise(both))
+    return joined.drop("_bucket", *[f"_{p}_{out}" for out in folds for p in "vre"])

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES: list[str] = ["pixels"]
+FAMILIES: list[str] = ["pixels", "evaluation", "spectral"]
 
 
 def load_all() -> None:
