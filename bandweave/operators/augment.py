@@ -9,6 +9,7 @@ from bandweave import TARGETS
 from bandweave.functions.draws import below, gaussian, uniform, uniform_between
 from bandweave.operators.pixels import field_size
 from bandweave.operators.ranks import exact_quantiles, shuffled_rank
+from bandweave.session import materialize
 
 
 def _corners(sizes: DataFrame, edge: int, tries: int, draws: int, seed: int) -> DataFrame:
@@ -134,11 +135,10 @@ def select_pixels_per_band(pixels: DataFrame, n: int, seed: int) -> DataFrame:
 def relevance(df: DataFrame, target: str) -> DataFrame:
     """Distance of a target beyond its whiskers as 0-1: 0 at the median, 1 at or past 1.5 interquartile ranges."""
     one = df.withColumn("_all", F.lit(1))
-    q = exact_quantiles(one, ["_all"], target, [0.25, 0.5, 0.75]).select("q")
-    q1, q2, q3 = (q.select(F.get("q", F.lit(i))).scalar() for i in range(3))
-    reach = F.lit(1.5) * (q3 - q1)
-    up = (F.col(target) - q2) / (q3 + reach - q2)
-    down = (q2 - F.col(target)) / (q2 - (q1 - reach))
+    q1, q2, q3 = exact_quantiles(one, ["_all"], target, [0.25, 0.5, 0.75]).first()["q"]
+    reach = 1.5 * (q3 - q1)
+    up = (F.col(target) - F.lit(q2)) / F.lit(q3 + reach - q2)
+    down = (F.lit(q2) - F.col(target)) / F.lit(q2 - (q1 - reach))
     return df.withColumn("relevance", F.least(F.greatest(up, down, F.lit(0.0)), F.lit(1.0)))
 
 
@@ -150,8 +150,8 @@ def oversample_rare(df: DataFrame, target: str, k: int, seed: int, vector: str =
     from bandweave.operators.neighbors import knn_join
 
     scored = relevance(df.select(key, vector, target), target)
-    rare = scored.where(F.col("relevance") >= threshold).drop("relevance")
-    near = knn_join(rare, rare, k, key=key, vector=vector, exclude_self=True)
+    rare = materialize(scored.where(F.col("relevance") >= threshold).drop("relevance"), "rare")
+    near = materialize(knn_join(rare, rare, k, key=key, vector=vector, exclude_self=True), "near")
     far = near.groupBy("query").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_k"))
     pickable = near.join(far, "query").withColumn("_pick", below(seed, F.col("_k"), F.col("query")) + 1)
     chosen = pickable.where(F.col("place") == F.col("_pick"))

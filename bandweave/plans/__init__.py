@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES: list[str] = ["pixels", "evaluation", "spectral"]
+FAMILIES: list[str] = ["pixels", "evaluation", "spectral", "learning", "texts", "io"]
 
 
 def load_all() -> None:

@@ -170,13 +170,13 @@ def a10(t):
     "a10b_running_weighted_mean",
     oracle(
         "metric_log",
-        """SELECT run, epoch, round(sum(score * n) OVER w / sum(n) OVER w, 8) AS average FROM metric_log
+        """SELECT run, epoch, round(sum(score * n) OVER w / sum(n) OVER w, 10) AS average FROM metric_log
            WINDOW w AS (PARTITION BY run ORDER BY epoch)""",
     ),
 )
 def a10b(t):
     run = sc.running_weighted_mean(v.metric_log(t), "score", "n", ["run"], "epoch", block=32)
-    return rounded(run.select("run", "epoch", "average"), 8, "average")
+    return rounded(run.select("run", "epoch", "average"), 10, "average")
 
 
 @query("a13_class_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
