@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandweave.operators.ranks import value_rank
-from bandweave.session import materialize
+from bandweave.session import broadcast_if_bounded, materialize
 
 TERMS = 28
 REACH = 8
@@ -34,7 +34,7 @@ def density_at(df: DataFrame, column: str, points: DataFrame, at: str, bandwidth
     where = points.withColumn("_y", F.col(at) / F.lit(float(bandwidth)))
     spots = where.select(at, "_y").distinct()
     near = spots.withColumn("_cell", F.explode(F.sequence(_cell(F.col("_y")) - REACH, _cell(F.col("_y")) + REACH)))
-    met = near.join(moments, "_cell").withColumn("_t", F.col("_y") - F.col("_cell") - F.lit(0.5))
+    met = near.join(broadcast_if_bounded(moments), "_cell").withColumn("_t", F.col("_y") - F.col("_cell") - F.lit(0.5))
     series: Column = F.col(f"_m{TERMS - 1}")
     for m in range(TERMS - 2, -1, -1):
         series = F.col(f"_m{m}") + F.col("_t") / F.lit(float(m + 1)) * series

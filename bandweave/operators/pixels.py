@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bandweave import SMALL_EDGE
 from bandweave.operators.ranks import exact_quantiles
+from bandweave.session import broadcast_if_bounded
 
 
 def scale_values(df: DataFrame, by: float | Column) -> DataFrame:
@@ -44,10 +45,17 @@ def lookup(df: DataFrame, key: int, column: str = "sample_index") -> DataFrame:
     return df.where(F.col(column) == key)
 
 
-def curve(pixels: DataFrame, fn: Callable[[Column], Column] = F.avg) -> DataFrame:
-    """One value per field and band over the unmasked pixels; a fully masked band gives null."""
+Reducer = Callable[[Column], Column]
+
+
+def curve(pixels: DataFrame, fn: Reducer | dict[str, Reducer] = F.avg) -> DataFrame:
+    """One value per field and band over the unmasked pixels; a fully masked band gives null.
+
+    Several reducers, by output name, share one aggregate.
+    """
     valid = F.when(~F.col("masked"), F.col("value"))
-    return pixels.groupBy("sample_index", "band").agg(fn(valid).alias("v"))
+    named = fn if isinstance(fn, dict) else {"v": fn}
+    return pixels.groupBy("sample_index", "band").agg(*[f(valid).alias(name) for name, f in named.items()])
 
 
 def curve_array(curves: DataFrame) -> DataFrame:
@@ -76,8 +84,8 @@ def band_stats(pixels: DataFrame) -> DataFrame:
 
 
 def join_band_stats(pixels: DataFrame, stats: DataFrame) -> DataFrame:
-    """Pixel value as a share of its band maximum; Spark broadcasts the per-band table by its size."""
-    return pixels.join(stats.select("band", "max"), "band").withColumn("share", F.col("value") / F.col("max"))
+    """Pixel value as a share of its band maximum; the per-band table is broadcast after a look at its size."""
+    return pixels.join(broadcast_if_bounded(stats.select("band", "max")), "band").withColumn("share", F.col("value") / F.col("max"))
 
 
 def _set_sum() -> Column:

@@ -46,39 +46,32 @@ def shuffled_rank(df: DataFrame, key, seed: int, by=(), name: str = "rank", tota
     return group_rank(drawn, by, ["_u", *keys], bucket, name, total).drop("_u")
 
 
-def value_buckets(df: DataFrame, value: str, buckets: int = 64, accuracy: int = 10_000) -> list[float]:
+def value_buckets(df: DataFrame, value: str, buckets: int = 1024, accuracy: int = 10_000) -> list[float]:
     """Cut points of a numeric column into about equal parts; only `buckets - 1` numbers reach the driver."""
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 
 
-def bucket_of(value: Column, cuts: list[float]) -> Column:
-    """How many cut points are <= value, as a balanced tree of comparisons."""
-    value = value.cast("double")
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
+def with_bucket(df: DataFrame, value: str, cuts: list[float], descending: bool = False) -> DataFrame:
+    """Add `_bucket`, the number of cut points <= value, falling instead of rising where asked."""
+    if not cuts:
+        return df.withColumn("_bucket", F.lit(0))
+    ready = df.withColumns({"_cuts": F.lit(cuts), "_at": F.col(value).cast("double")})
+    found = sorted_lookup(ready, "_cuts", "_at", len(cuts), "_bucket").drop("_cuts", "_at")
+    return found.withColumn("_bucket", -F.col("_bucket")) if descending else found
 
 
 def value_rank(df: DataFrame, value: str, ties=(), descending: bool = False, name: str = "rank", total=None) -> DataFrame:
     """Global position by a numeric column with few equal values."""
-    cuts = value_buckets(df, value)
-    bucket = bucket_of(F.col(value), cuts)
+    marked = with_bucket(df, value, value_buckets(df, value), descending).withColumnRenamed("_bucket", "_place")
     order = F.col(value).desc() if descending else F.col(value).asc()
-    return group_rank(df, [], [order, *ties], -bucket if descending else bucket, name, total)
+    return group_rank(marked, [], [order, *ties], F.col("_place"), name, total).drop("_place")
 
 
 def running_sums(df: DataFrame, value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """Running totals over a globally ordered column of distinct values: {output: input}."""
-    cuts = value_buckets(df, value)
-    bucket = bucket_of(F.col(value), cuts)
-    rows = df.withColumn("_bucket", -bucket if descending else bucket)
+    rows = with_bucket(df, value, value_buckets(df, value), descending)
     parts = rows.groupBy("_bucket").agg(*[F.sum(src).alias(f"_{out}") for out, src in sums.items()])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
@@ -115,6 +108,8 @@ def exact_quantiles(df: DataFrame, by, value: str, probs, name: str = "q", bucke
     positions, and only the distinct values of those buckets are sorted.
     """
     by = list(by)
+    if not by:
+        raise ValueError("name at least one grouping column; a constant column stands for the whole table")
     probs = [float(p) for p in probs]
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     grid = [i / buckets for i in range(1, buckets)]
@@ -122,7 +117,7 @@ def exact_quantiles(df: DataFrame, by, value: str, probs, name: str = "q", bucke
         F.array_distinct(F.percentile_approx("_v", grid, 10_000)).alias("_cuts"), F.count("_v").alias("_n")
     )
     cuts = broadcast_if_bounded(cuts, 20_000)
-    placed = sorted_lookup(rows.join(cuts, by) if by else rows.join(cuts), "_cuts", "_v", buckets - 1, "_bucket")
+    placed = sorted_lookup(rows.join(cuts, by), "_cuts", "_v", buckets - 1, "_bucket")
     counted = placed.groupBy(*by, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
     parts = counted.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,6 +15,7 @@ from bandweave.plans import views as v
 from bandweave.plans.pixels import rounded
 from bandweave.plans.registry import query
 from bandweave.plans.views import oracle, sql_uniform
+from bandweave.session import broadcast_if_bounded, materialize
 
 # The stand-in fields have edges of 1 to 4 pixels.
 EDGES = (0, 1, 1.5, 2, 2.5, 3, 3.5, 210)
@@ -89,12 +90,13 @@ def a05(t):
     """Flagship: curve of the unmasked pixels, joined to targets; predict by the mean of curves alike."""
     curve = px.curve(v.pixel_values(t).where("band = 0"))
     level = F.coalesce(F.floor(F.col("v") / 10).cast("int"), F.lit(-1))
-    marked = v.folded_targets(t).join(curve.select("sample_index", level.alias("level")), "sample_index")
+    joined = v.folded_targets(t).join(curve.select("sample_index", level.alias("level")), "sample_index")
+    marked = materialize(joined.select("sample_index", "fold", "level", *TARGETS), "marked")
     train = marked.where("fold <> 0")
     means = train.groupBy("level").agg(*[F.avg(c).alias(f"{c}_hat") for c in TARGETS])
     base = sc.baseline_fit(train)
     test = marked.where("fold = 0").withColumns({f"{c}_base": base.select(c).scalar() for c in TARGETS})
-    return score_rounding(sc.relative_score(test.join(means, "level")))
+    return score_rounding(sc.relative_score(test.join(broadcast_if_bounded(means), "level")))
 
 
 @query(
@@ -124,7 +126,7 @@ def a06(t):
 def a07(t):
     from bandweave.operators.ranks import shuffled_rank
 
-    ranked = shuffled_rank(v.evaluation(t), "sample_index", 8, name="pos")
+    ranked = shuffled_rank(materialize(v.evaluation(t), "evaluation"), "sample_index", 8, name="pos")
     return rounded(sc.batch_score(ranked.withColumn("batch", F.floor(F.col("pos") / 64)), "batch"), 9, "score")
 
 
@@ -194,12 +196,12 @@ def a14(t):
 
 
 def class_pred(t):
-    """Truth against "longer than the median"; the exact median is a scalar."""
+    """Truth against "longer than the median", the exact median."""
     from bandweave.operators.ranks import exact_quantiles
 
-    scores = v.binary_scores(t)
+    scores = materialize(v.binary_scores(t), "scores")
     median = exact_quantiles(scores.withColumn("_all", F.lit(1)), ["_all"], "score", [0.5])
-    cut = median.select(F.get("q", F.lit(0))).scalar()
+    cut = F.lit(median.first()["q"][0])
     return scores.select("doc_id", "truth", (F.col("score") > cut).cast("int").alias("pred"))
 
 
@@ -303,7 +305,7 @@ def histogram_sql(column: str, bins: int) -> str:
 
 
 def _histogram(t, column, bins):
-    out = rp.histogram(v.targets(t), column, bins, density=True)
+    out = rp.histogram(materialize(v.targets(t), "targets"), column, bins, density=True)
     return rounded(rounded(out, 6, "left", "right"), 12, "density")
 
 
@@ -332,7 +334,7 @@ def a22b(t):
     ),
 )
 def a23(t):
-    return rounded(rp.hexbin(v.evaluation(t), "K", "K_hat", 100, 57), 6, "x", "y")
+    return rounded(rp.hexbin(materialize(v.evaluation(t), "evaluation"), "K", "K_hat", 100, 57), 6, "x", "y")
 
 
 @query(
@@ -346,7 +348,7 @@ def a23(t):
     ),
 )
 def a24(t):
-    return rounded(rounded(dn.kde(v.targets(t), "K", 8.0, 50), 6, "at"), 10, "density")
+    return rounded(rounded(dn.kde(materialize(v.targets(t), "targets"), "K", 8.0, 50), 6, "at"), 10, "density")
 
 
 def weight_sql(at: str) -> str:
@@ -361,13 +363,13 @@ def weight_sql(at: str) -> str:
 
 @query("a25_density_weight", oracle("targets", weight_sql("pos")))
 def a25(t):
-    weighed = dn.density_weight(v.targets(t).select("sample_index", "K"), "K")
+    weighed = dn.density_weight(materialize(v.targets(t).select("sample_index", "K"), "targets"), "K")
     return rounded(weighed.select("sample_index", "weight"), 7, "weight")
 
 
 @query("a25b_density_weight_by_value", oracle("targets", weight_sql("K")))
 def a25b(t):
-    weighed = dn.density_weight(v.targets(t).select("sample_index", "K"), "K", by="value")
+    weighed = dn.density_weight(materialize(v.targets(t).select("sample_index", "K"), "targets"), "K", by="value")
     return rounded(weighed.select("sample_index", "weight"), 7, "weight")
 
 
@@ -404,7 +406,7 @@ def a26(t):
     ),
 )
 def j04(t):
-    models = v.predictions(t)
+    models = materialize(v.predictions(t), "predictions")
     keys = ["sample_index", "fold"]
     pred = models.where("model = 'priority'").drop("model")
     base = models.where("model = 'baseline'").drop("model")
@@ -418,7 +420,7 @@ def j04(t):
     oracle("evaluation", "SELECT sample_index, " + ", ".join(f"round({c}_hat, 5) AS {c}" for c in TARGETS) + " FROM evaluation"),
 )
 def j05(t):
-    models = v.predictions(t).where("model = 'priority'")
+    models = materialize(v.predictions(t), "predictions").where("model = 'priority'")
     return rounded(pr.combine_targets([models.select("sample_index", c) for c in TARGETS]), 5, *TARGETS)
 
 
@@ -468,7 +470,7 @@ POINTS = """SELECT score AS threshold, sum(p) OVER w AS tp, sum(f) OVER w AS fp,
     ),
 )
 def w03(t):
-    return rounded(rp.roc(v.binary_scores(t)), 9, "fpr", "tpr")
+    return rounded(rp.roc(materialize(v.binary_scores(t), "scores")), 9, "fpr", "tpr")
 
 
 @query(
@@ -490,7 +492,7 @@ def w05(t):
 
 @query("w06_reindex", oracle("targets", "SELECT sample_index, K, row_number() OVER (ORDER BY sample_index) - 1 AS \"index\" FROM targets"))
 def w06(t):
-    return pr.reindex(v.targets(t).select("sample_index", "K"))
+    return pr.reindex(materialize(v.targets(t).select("sample_index", "K"), "targets"))
 
 
 @query(
@@ -533,6 +535,7 @@ def t05(t):
 )
 def u02(t):
     ev = v.evaluation(t).join(px.field_size(v.pixel_rows(t)), "sample_index")
+    ev = materialize(ev.select("sample_index", "edge", "K_hat", "K_base"), "evaluation")
     small = ev.where("edge <= 2").select("sample_index", F.col("K_hat").alias("K"))
     large = ev.where("edge > 2").select("sample_index", F.col("K_base").alias("K"))
     return rounded(pr.merge_predictions(small, large), 6, "K")
@@ -593,7 +596,7 @@ def m20(t):
     ),
 )
 def m25(t):
-    return rounded(rp.equal_error(v.binary_scores(t)), 9, "fpr", "fnr", "error_rate")
+    return rounded(rp.equal_error(materialize(v.binary_scores(t), "scores")), 9, "fpr", "fnr", "error_rate")
 
 
 @query(

@@ -162,8 +162,9 @@ def st1(t):
 
 @query(
     "st2_metric_stream",
-    """SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, round(sum(value * length(props)) / sum(length(props)), 7) AS average, sum(length(props))::BIGINT AS count
-       FROM events GROUP BY ALL HAVING time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' <= (SELECT max(ts) FROM events) - INTERVAL '1 day'""",
+    """SELECT start, event_type, round(sum(value * n) / sum(n), 7) AS average, sum(n)::BIGINT AS count
+       FROM (SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, value, length(props) AS n, max(ts) OVER () AS latest FROM events)
+       WHERE start + INTERVAL '6 hours' <= latest - INTERVAL '1 day' GROUP BY start, event_type""",
 )
 def st2(t):
     raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)

@@ -12,6 +12,7 @@ from bandweave.operators import reshape as rs
 from bandweave.plans import views as v
 from bandweave.plans.registry import query
 from bandweave.plans.views import oracle, sql_uniform
+from bandweave.session import materialize
 
 FULL = "sample_index, x, y, band, value, masked"
 # The stand-in fields are a few pixels wide, so the size classes split at edge 2 here.
@@ -83,7 +84,7 @@ def p05(t):
     oracle("sizes", "SELECT sample_index, h, w, (h + w) / 2.0::DOUBLE AS edge, h * w AS area FROM sizes"),
 )
 def p06(t):
-    return px.field_size(v.pixels(t).where("band = 0"))
+    return px.field_size(v.pixel_rows(t))
 
 
 @query(
@@ -95,7 +96,7 @@ def p06(t):
     ),
 )
 def p07(t):
-    small, large = px.route_by_size(px.field_size(v.pixels(t).where("band = 0")), SMALL)
+    small, large = px.route_by_size(materialize(px.field_size(v.pixel_rows(t)), "sizes"), SMALL)
     marked = small.withColumn("route", F.lit("small")).unionByName(large.withColumn("route", F.lit("large")))
     return marked.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
 
@@ -185,10 +186,7 @@ def j03(t):
     ),
 )
 def a01(t):
-    pixels = v.pixel_values(t)
-    mean = px.curve(pixels).withColumnRenamed("v", "mean")
-    top = px.curve(pixels, F.max).withColumnRenamed("v", "top")
-    return rounded(mean.join(top, ["sample_index", "band"]), 6, "mean")
+    return rounded(px.curve(v.pixel_values(t), {"mean": F.avg, "top": F.max}), 6, "mean")
 
 
 @query(
@@ -253,7 +251,7 @@ def summary_sql(view: str, c: str) -> str:
     ),
 )
 def a12(t):
-    return rounded(px.summary(v.targets(t), TARGETS), 4, "min", "max", "mean", "std", "median")
+    return rounded(px.summary(materialize(v.targets(t), "targets"), TARGETS), 4, "min", "max", "mean", "std", "median")
 
 
 @query("a15_value_counts", "SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1")
@@ -272,7 +270,7 @@ def a15(t):
     ),
 )
 def f09(t):
-    return rs.pad_square(v.pixels_full(t), "wrap")
+    return rs.pad_square(v.stored_pixels(t, full=True), "wrap")
 
 
 @query(
@@ -287,7 +285,7 @@ def f09(t):
     ),
 )
 def f10(t):
-    return rs.pad_square(v.pixels_full(t), "zero", size=4)
+    return rs.pad_square(v.stored_pixels(t, full=True), "zero", size=4)
 
 
 ORIENT = f"""SELECT p.*, h, w,
@@ -309,7 +307,7 @@ ORIENT = f"""SELECT p.*, h, w,
     ),
 )
 def f20(t):
-    return rs.augment_orientation(v.pixels_full(t), 7).select(*FULL.split(", "))
+    return rs.augment_orientation(v.stored_pixels(t, full=True), 7).select(*FULL.split(", "))
 
 
 PIXEL_KEY = "sample_index || ':' || band || ':' || x || ':' || y"
@@ -329,7 +327,7 @@ PIXEL_KEY = "sample_index || ':' || band || ':' || x || ':' || y"
 )
 def f21(t):
     # both columns come from one pass over the pixel view
-    pixels = v.pixels(t).withColumn("raw", F.col("value"))
+    pixels = v.stored_pixels(t).withColumn("raw", F.col("value"))
     noisy = rs.add_noise(pixels, "uniform", 0.01, 11).withColumnsRenamed({"value": "uniform_noise", "raw": "value"})
     both = rs.add_noise(noisy, "normal", 0.005, 12).withColumnRenamed("value", "normal_noise")
     return rounded(both.select("sample_index", "px", "band", "uniform_noise", "normal_noise"), 5, "uniform_noise", "normal_noise")
@@ -346,7 +344,7 @@ def f21(t):
     ),
 )
 def f22(t):
-    return rs.flatten_wrap(v.pixels(t), 24)
+    return rs.flatten_wrap(v.stored_pixels(t), 24)
 
 
 @query(
@@ -359,7 +357,7 @@ def f22(t):
     ),
 )
 def f23(t):
-    return rs.resize_nearest(v.pixels_full(t), 3).select("sample_index", "x", "y", "band", "value")
+    return rs.resize_nearest(v.stored_pixels(t, full=True), 3).select("sample_index", "x", "y", "band", "value")
 
 
 @query(

@@ -17,6 +17,7 @@ from bandweave.plans import views as v
 from bandweave.plans.pixels import rounded
 from bandweave.plans.registry import query
 from bandweave.plans.views import oracle, sql_uniform
+from bandweave.session import materialize
 
 
 def long(df, name: str, out: str = "v", index: str = "i"):
@@ -230,12 +231,12 @@ def f19(t):
 
 @query("m01_features_forest")
 def m01(t):
-    return fe.features(v.pixels(t), "forest")
+    return fe.features(v.stored_pixels(t), "forest")
 
 
 @query("m01b_features_tuned")
 def m01b(t):
-    return fe.features(v.pixels(t), "tuned")
+    return fe.features(v.stored_pixels(t), "tuned")
 
 
 CURVE4 = """SELECT sample_index, list(coalesce(v, 0.0) ORDER BY band) AS arr FROM (SELECT sample_index, band,
@@ -262,7 +263,7 @@ CURVE4 = """SELECT sample_index, list(coalesce(v, 0.0) ORDER BY band) AS arr FRO
 )
 def m02(t):
     """The k-nearest layout; fields are at most 4 x 4 here, so its singular values hold the whole image energy."""
-    rows = fe.features(v.pixels(t), "knn")
+    rows = fe.features(v.stored_pixels(t), "knn")
     flat = rows.select("sample_index", F.posexplode(F.arrays_zip(*fe.BLOCKS["knn"])).alias("band", "e"))
     flat = flat.select("sample_index", "band", "e.*")
     energy = sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(5)), F.lit(0.0))
@@ -272,7 +273,7 @@ def m02(t):
 
 @query("m02b_features_boosted")
 def m02b(t):
-    return fe.features(v.pixels(t), "boosted")
+    return fe.features(v.stored_pixels(t), "boosted")
 
 
 @query(
@@ -290,7 +291,7 @@ def m02b(t):
 )
 def m03(t):
     """Sums of second and fourth powers of the singular values equal the Gram matrix's trace and norm."""
-    scaled = px.scale_values(v.pixels_full(t), 2210.0)
+    scaled = px.scale_values(v.stored_pixels(t, full=True), 2210.0)
     sigma = fe.singular_profile(scaled, 5)
     square = F.aggregate("sigma", F.lit(0.0), lambda s, x: s + x * x)
     fourth = F.aggregate("sigma", F.lit(0.0), lambda s, x: s + x * x * x * x)
@@ -338,17 +339,17 @@ def crop_sql(tries: int, good: str) -> dict[str, str]:
 
 @query("m04_crop_augment", oracle("pixels_full sizes_full", "SELECT * FROM cut", **crop_sql(10, "NOT masked")))
 def m04(t):
-    return rounded(au.crop_augment(v.pixels_full(t), 2, 10, 1, 4), 4, "value")
+    return rounded(au.crop_augment(v.stored_pixels(t, full=True), 2, 10, 1, 4), 4, "value")
 
 
 @query("m04b_crop_augment_masked", oracle("pixels_full sizes_full", "SELECT * FROM cut", **crop_sql(3, "masked")))
 def m04b(t):
-    return rounded(au.crop_augment(v.pixels_full(t), 2, 3, 1, 4, accept="masked"), 4, "value")
+    return rounded(au.crop_augment(v.stored_pixels(t, full=True), 2, 3, 1, 4, accept="masked"), 4, "value")
 
 
 @query("m05_min_edge_crop", oracle("pixels_full sizes_full", "SELECT * FROM cut", **crop_sql(0, "true")))
 def m05(t):
-    return rounded(au.crop_augment(v.pixels_full(t), 2, 0, 1, 4), 4, "value")
+    return rounded(au.crop_augment(v.stored_pixels(t, full=True), 2, 0, 1, 4), 4, "value")
 
 
 def jitter_sql(c: str) -> str:
@@ -383,7 +384,7 @@ DRAWN = f"""SELECT pos AS draw, floor({sql_uniform(3, "'a:' || pos")} * n)::BIGI
     ),
 )
 def m07(t):
-    rows = v.curves(t).join(v.targets(t).select("sample_index", "K", "pH"), "sample_index")
+    rows = materialize(v.curves(t).join(v.targets(t).select("sample_index", "K", "pH"), "sample_index"), "rows")
     mixed = au.mix_rows(rows, 0.3, 0.3, 3, cols=["K", "pH"]).where("draw IS NOT NULL")
     flat = mixed.select("draw", "K", F.posexplode("curve").alias("i", "v"))
     return rounded(rounded(flat, 9, "v"), 6, "K")
@@ -400,7 +401,7 @@ def m07(t):
 )
 def j09(t):
     rows = v.curves(t).join(v.targets(t).select("sample_index", "K"), "sample_index").select("sample_index", "K")
-    ranked = shuffled_rank(rows, "sample_index", 3, name="pos", total="n")
+    ranked = shuffled_rank(materialize(rows, "rows"), "sample_index", 3, name="pos", total="n")
     draws = ranked.where(F.col("pos") < F.floor(F.col("n") * F.lit(0.3))).select(
         F.col("pos").alias("draw"), below(3, F.col("n"), "a", F.col("pos")).alias("pos")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bandweave import TARGETS
 from bandweave.operators import folds as fold_ops
 from bandweave.operators.ranks import group_rank
+from bandweave.session import broadcast_if_bounded, materialize, spread
 
 FOLDS = 5
 FOLD_SEED = 42
@@ -64,8 +65,14 @@ def pixels_full(t) -> DataFrame:
     return _by_band(pixel_rows(t).where(F.col("n") % F.col("w") == 0))
 
 
+def stored_pixels(t, full: bool = False) -> DataFrame:
+    """The pixel table as a written table, as ingest leaves it, for jobs that read it more than once."""
+    rows = pixel_rows(t)
+    return _by_band(materialize(rows.where(F.col("n") % F.col("w") == 0) if full else rows, "pixels"))
+
+
 def curves(t) -> DataFrame:
-    return t.embeddings.select(
+    return spread(t.embeddings).select(
         F.col("vec_id").alias("sample_index"), F.col("embedding").cast("array<double>").alias("curve"), "label"
     )
 
@@ -114,10 +121,11 @@ def folded_targets(t) -> DataFrame:
 
 def evaluation(t) -> DataFrame:
     """Truth, mean predictor and priority-mean predictor, each fitted on the other folds."""
-    truth = folded_targets(t)
+    truth = materialize(folded_targets(t), "truth")
     base = fold_ops.complement_means(truth, [], "fold", TARGETS, "{}_base")
     model = fold_ops.complement_means(truth, ["o_orderpriority"], "fold", TARGETS, "{}_hat")
-    return truth.join(base, "fold").join(model, ["o_orderpriority", "fold"])
+    means = broadcast_if_bounded(model.join(base, "fold"))
+    return truth.join(means, ["o_orderpriority", "fold"])
 
 
 def predictions(t) -> DataFrame:

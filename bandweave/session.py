@@ -59,6 +59,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan of few tasks over the cores ahead of heavy per-row work.
+
+    A table with a task per core or more, as any large one has, is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def broadcast_if_bounded(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """Broadcast hint behind a count of the rows; past the bound Spark picks the join itself."""
     df = df.persist()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandweave.functions.text import key_from_path
+from bandweave.session import broadcast_if_bounded
 
 PIXELS = "sample_index bigint, band int, x bigint, y bigint, value double, masked boolean"
 CHUNK = 1 << 20
@@ -55,7 +56,7 @@ def class_labels(files: DataFrame) -> DataFrame:
     named = files.withColumn("class", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     classes = named.select("class").distinct()
     numbered = classes.withColumn("label", (F.dense_rank().over(Window.orderBy("class")) - 1).cast("int"))
-    return named.join(numbered, "class").select("path", "class", "label")
+    return named.join(broadcast_if_bounded(numbered), "class").select("path", "class", "label")
 
 
 def scan_class_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bandweave.operators.neighbors import lof
+from bandweave.operators.neighbors import lof, lof_fit
 
 
 def novelty_stream(stream: DataFrame, known: DataFrame, sink: str, checkpoint: str, k: int = 7, limit: float = 1.5, only_novel: bool = True) -> StreamingQuery:
@@ -15,8 +15,10 @@ def novelty_stream(stream: DataFrame, known: DataFrame, sink: str, checkpoint: s
     A batch writes to its own folder and overwrites it when the batch is run again after a failure.
     """
 
+    fitted = lof_fit(known, k)
+
     def score(batch: DataFrame, batch_id: int) -> None:
-        scored = lof(known, batch, k, limit)
+        scored = lof(known, batch, k, limit, fitted=fitted)
         kept = scored.where("novel") if only_novel else scored
         kept.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
