@@ -14,6 +14,12 @@ from bandweave.functions.draws import uniform
 from bandweave.session import broadcast_if_bounded
 
 HASH_BUCKETS = 4096
+ROWS_PER_BUCKET = 200_000
+
+
+def literal_array(values) -> Column:
+    """Array of doubles written as one SQL literal, which is quicker to build than many columns."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def group_rank(df: DataFrame, by, order, bucket: Column, name: str = "rank", total: str | None = None) -> DataFrame:
@@ -46,32 +52,38 @@ def shuffled_rank(df: DataFrame, key, seed: int, by=(), name: str = "rank", tota
     return group_rank(drawn, by, ["_u", *keys], bucket, name, total).drop("_u")
 
 
-def value_buckets(df: DataFrame, value: str, buckets: int = 1024, accuracy: int = 10_000) -> list[float]:
-    """Cut points of a numeric column into about equal parts; only `buckets - 1` numbers reach the driver."""
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
+def value_buckets(df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET, most: int = 1024) -> list[float]:
+    """Cut points of a numeric column into about equal parts; at most `most` numbers reach the driver.
+
+    The number of parts follows the row count, so a small table is not cut at all.
+    """
+    probs = literal_array([i / most for i in range(1, most)])
+    number = F.col(value).cast("double")
+    row = df.agg(F.percentile_approx(number, probs, 10_000).alias("cuts"), F.count(number).alias("n")).first()
+    parts = min(most, row["n"] // rows_per_bucket + 1)
+    step = most / parts
+    return sorted({row["cuts"][int(i * step) - 1] for i in range(1, parts)}) if row["cuts"] else []
 
 
 def with_bucket(df: DataFrame, value: str, cuts: list[float], descending: bool = False) -> DataFrame:
     """Add `_bucket`, the number of cut points <= value, falling instead of rising where asked."""
     if not cuts:
         return df.withColumn("_bucket", F.lit(0))
-    ready = df.withColumns({"_cuts": F.lit(cuts), "_at": F.col(value).cast("double")})
+    ready = df.withColumns({"_cuts": literal_array(cuts), "_at": F.col(value).cast("double")})
     found = sorted_lookup(ready, "_cuts", "_at", len(cuts), "_bucket").drop("_cuts", "_at")
     return found.withColumn("_bucket", -F.col("_bucket")) if descending else found
 
 
-def value_rank(df: DataFrame, value: str, ties=(), descending: bool = False, name: str = "rank", total=None) -> DataFrame:
+def value_rank(df: DataFrame, value: str, ties=(), descending: bool = False, name: str = "rank", total=None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Global position by a numeric column with few equal values."""
-    marked = with_bucket(df, value, value_buckets(df, value), descending).withColumnRenamed("_bucket", "_place")
+    marked = with_bucket(df, value, value_buckets(df, value, rows_per_bucket), descending).withColumnRenamed("_bucket", "_place")
     order = F.col(value).desc() if descending else F.col(value).asc()
     return group_rank(marked, [], [order, *ties], F.col("_place"), name, total).drop("_place")
 
 
-def running_sums(df: DataFrame, value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+def running_sums(df: DataFrame, value: str, sums: dict[str, str], descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Running totals over a globally ordered column of distinct values: {output: input}."""
-    rows = with_bucket(df, value, value_buckets(df, value), descending)
+    rows = with_bucket(df, value, value_buckets(df, value, rows_per_bucket), descending)
     parts = rows.groupBy("_bucket").agg(*[F.sum(src).alias(f"_{out}") for out, src in sums.items()])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
@@ -112,7 +124,7 @@ def exact_quantiles(df: DataFrame, by, value: str, probs, name: str = "q", bucke
         raise ValueError("name at least one grouping column; a constant column stands for the whole table")
     probs = [float(p) for p in probs]
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    grid = [i / buckets for i in range(1, buckets)]
+    grid = literal_array([i / buckets for i in range(1, buckets)])
     cuts = rows.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx("_v", grid, 10_000)).alias("_cuts"), F.count("_v").alias("_n")
     )
@@ -122,24 +134,23 @@ def exact_quantiles(df: DataFrame, by, value: str, probs, name: str = "q", bucke
     parts = counted.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    at = F.array(*[F.lit(p) for p in probs])
-    positions = F.flatten(
-        F.transform(
-            at,
-            lambda p: F.array(
-                F.floor(p * (F.col("_n") - 1)).cast("bigint"), F.ceil(p * (F.col("_n") - 1)).cast("bigint")
-            ),
-        )
+    # One row per group with its buckets in order; every wanted position then looks up its bucket.
+    entries = F.array_sort(F.collect_list(F.struct("_before", "_bucket")))
+    layout = parts.groupBy(*by).agg(entries.alias("_l"), F.max("_n").alias("_n"))
+    at = literal_array(probs)
+    last = F.col("_n") - 1
+    ends = F.transform(at, lambda p: F.array(F.floor(p * last).cast("bigint"), F.ceil(p * last).cast("bigint")))
+    wanted = layout.select(
+        *by,
+        "_n",
+        "_l",
+        F.explode(F.array_distinct(F.flatten(ends))).alias("_pos"),
     )
-    parts = parts.withColumn(
-        "_want",
-        F.filter(
-            F.array_distinct(positions),
-            lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_size")),
-        ),
-    ).where(F.size("_want") > 0)
+    spot = F.element_at(F.filter("_l", lambda e: e["_before"] <= F.col("_pos")), -1)
+    wanted = wanted.select(*by, "_n", "_pos", spot["_bucket"].alias("_bucket"), spot["_before"].alias("_before"))
+    wanted = wanted.groupBy(*by, "_bucket", "_before", "_n").agg(F.collect_list("_pos").alias("_want"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    needed = counted.drop("_n").join(parts.select(*by, "_bucket", "_before", "_n", "_want"), [*by, "_bucket"])
+    needed = counted.drop("_n").join(wanted, [*by, "_bucket"])
     run = needed.withColumn("_end", F.sum("_c").over(inside) + F.col("_before"))
     hits = run.select(
         *by,

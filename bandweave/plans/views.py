@@ -143,7 +143,7 @@ def predictions(t) -> DataFrame:
 
 
 def metric_log(t) -> DataFrame:
-    """Runs and epochs out of the event stream; a busy user is ranked by day first."""
+    """Runs and epochs out of the event stream; a busy user is ranked by hour first."""
     rows = t.events.select(
         F.col("user_id").alias("run"),
         "ts",
@@ -151,7 +151,7 @@ def metric_log(t) -> DataFrame:
         F.col("value").alias("score"),
         F.length("props").cast("bigint").alias("n"),
     )
-    ranked = group_rank(rows, ["run"], ["ts", "event_id"], F.to_date("ts"), name="epoch")
+    ranked = group_rank(rows, ["run"], ["ts", "event_id"], F.date_trunc("hour", "ts"), name="epoch")
     return ranked.select("run", "epoch", "score", "n")
 
 

@@ -36,13 +36,13 @@ def test_shuffled_rank_is_a_permutation_and_repeatable(spark):
 
 def test_value_rank_descending(spark):
     df = spark.createDataFrame([(i, float((i * 37) % 101)) for i in range(101)], "id int, v double")
-    got = {r["v"]: r["rank"] for r in ranks.value_rank(df, "v", descending=True).collect()}
+    got = {r["v"]: r["rank"] for r in ranks.value_rank(df, "v", descending=True, rows_per_bucket=9).collect()}
     assert got == {float(v): 100 - v for v in range(101)}
 
 
 def test_running_sums(spark):
     df = spark.createDataFrame([(float(i), i % 5) for i in range(500)], "v double, n int")
-    got = {r["v"]: (r["s"], r["s_total"]) for r in ranks.running_sums(df, "v", {"s": "n"}).collect()}
+    got = {r["v"]: (r["s"], r["s_total"]) for r in ranks.running_sums(df, "v", {"s": "n"}, rows_per_bucket=25).collect()}
     total = 0
     for i in range(500):
         total += i % 5
