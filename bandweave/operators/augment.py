@@ -41,7 +41,7 @@ def crop_augment(pixels: DataFrame, edge: int, tries: int, draws: int, seed: int
     times the field maximum is added; the crop is returned as a pixel table with its own coordinates.
     """
     sizes = field_size(pixels)
-    corners = _corners(sizes.select("sample_index", "h", "w"), edge, tries, draws, seed)
+    corners = materialize(_corners(sizes.select("sample_index", "h", "w"), edge, tries, draws, seed), "corners")
     inside = lambda c: (
         (F.col("x") >= c["x0"]) & (F.col("x") < c["x0"] + c["side"]) & (F.col("y") >= c["y0"]) & (F.col("y") < c["y0"] + c["side"])
     )
