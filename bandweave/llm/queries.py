@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import bpe, packing, url_rules
+from bandweave.llm import ann, bpe, packing, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,30 @@ select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict fro
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(table(spark, folder, "pages"), rules)
+
+
+TOPK_SQL = """
+with scaled as (
+    select vec_id, [floor(64 * x::double) for x in embedding] as v
+    from embeddings
+    where len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), scores as (
+    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from scaled q join scaled c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+), ranked as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scores
+)
+select * from ranked where rank <= 20
+"""
+
+
+@query("op3_topk", TOPK_SQL)
+def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))).alias("embedding"))
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op6_ann")
+def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
