@@ -30,8 +30,8 @@ from bandweave.llm.tokens import piece_finder, rank_file
 
 LEAF_BYTES = 8
 # Entries a cache may hold; past it the cache starts anew, results don't change.
-CACHE_ENTRIES = 1_000_000
-MEMO_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
+MEMO_ENTRIES = 120_000
 TWO_BLANKS = re.compile(r"\s\s")
 NONE = 1 << 60
 # Longer strings than this are merged one by one.
