@@ -24,7 +24,7 @@ LISTS = 4096
 # Standard deviations of the test; 2.1 is the published setting.
 CERTAINTY = 2.1
 # Share of the lists a query scans. Random vectors have neighbours in half of all lists; clustered ones need far fewer.
-PROBES = 0.6
+PROBES = 0.75
 
 
 def centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import ann, bpe, packing, topk, url_rules
+from bandweave.llm import ann, bpe, langid, packing, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,15 @@ def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def held_out(doc_id="doc_id"):
+    """Rows kept from training: one in five by the checksum of the id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query("op5_langid")
+def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs.where(~held_out()))
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
