@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import ann, bpe, langid, packing, sentences, topk, url_rules
+from bandweave.llm import ann, bpe, jaccard, langid, packing, sentences, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,9 @@ def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
 def op7_sentence_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return sentences.dedup(docs, counts=("n_sentences", "n_removed"))
+
+
+@query("op10_jaccard")
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.classes(table(spark, folder, "documents"), n=3, percent=90)
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
