@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import ann, bpe, jaccard, langid, packing, sentences, topk, url_rules
+from bandweave.llm import ann, bpe, jaccard, langid, packing, quality, sentences, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,12 @@ def op7_sentence_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard.classes(table(spark, folder, "documents"), n=3, percent=90)
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and toxic = 0").select("doc_id")
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"), trusted_ids(table(spark, folder, "labels")))
