@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Letter classes: 0 stands for a run of anything else, a-z have their own, all other letters share the rest by code point.
 CLASSES = 49
@@ -143,5 +144,5 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str], text_col:
                     names[i], scores[i] = known.languages[b], min(1.0, max(0.0, (s + 1) / 2))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return docs.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, StructType([*(docs.schema[c] for c in columns), *more]))
