@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import ann, bpe, jaccard, langid, packing, quality, sentences, topk, url_rules
+from bandweave.llm import ann, bpe, jaccard, langid, packing, quality, sentences, suffixes, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 @query("op2_quality")
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"), trusted_ids(table(spark, folder, "labels")))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
