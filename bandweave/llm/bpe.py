@@ -30,8 +30,8 @@ from bandweave.llm.tokens import piece_finder, rank_file
 
 LEAF_BYTES = 8
 # Entries a cache may hold; past it the cache starts anew, results don't change.
-CACHE_ENTRIES = 400_000
-MEMO_ENTRIES = 120_000
+CACHE_ENTRIES = 300_000
+MEMO_ENTRIES = 100_000
 TWO_BLANKS = re.compile(r"\s\s")
 NONE = 1 << 60
 # Longer strings than this are merged one by one.
@@ -206,9 +206,10 @@ def _chunks(values: list[str | None], sizes: list[int]) -> Iterator[tuple[int, i
         yield start, len(values)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Id, and `ids`: the tokens of the whole text as little-endian unsigned 32-bit integers.
 
+    `decoded` adds the bytes that the ids decode to, in the same pass, for round trips without a second Python worker.
     A null or empty text has no tokens (empty bytes). One row comes out for each row that goes in, repeated rows and null ids
     included; other columns are left behind. No shuffle.
     """
@@ -221,10 +222,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 gc.disable()  # millions of small tuples, none in a cycle
                 ids = encode_texts([x or "" for x in texts[a:b]])
                 gc.enable()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids, pa.binary())], names=[id_col, "ids"])
+                columns = [batch.column(0)[a:b], pa.array(ids, pa.binary())]
+                columns += [pa.array([decode_ids(x, path) for x in ids], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    fields = f"`{id_col}` {kind}, ids binary" + ", decoded binary" * decoded
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, fields)
 
 
 @functools.cache

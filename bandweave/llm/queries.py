@@ -38,7 +38,7 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path)
+    coded = bpe.encode(table(spark, folder, "documents"), path, decoded=True)
     return coded.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
