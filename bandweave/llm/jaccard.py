@@ -7,8 +7,9 @@ into n2 parts; of each partition, the subsets of n2 - 1 parts are enumerated, an
 it. Two similar sets agree in one of them. Sets that agree are candidates, and candidates are compared exactly.
 
 Equal sets count as one node. Each node is first compared with the least node of the groups it shares, the one with which it
-shares most signatures. Where a group still holds several components, all its pairs across components are compared, block by
-block of texts, so no link is lost and no pairs within a component are formed.
+shares most signatures. Where a group still holds several components, all its pairs across components are compared, so no link
+is lost and no pairs within a component are formed: groups of at most FEW nodes by their distinct pairs, larger ones block by
+block of texts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from bandweave.llm.components import components
 from bandweave.session import materialize
 
-BLOCK = 64  # texts compared at a time
+BLOCK, FEW = 64, 6  # texts compared at a time, nodes of a group whose pairs are listed
+SEEN = 1 << 20  # nodes a task remembers, so that copies are signed once
 CHUNK = 1 << 20  # bytes of text hashed at a time
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -155,10 +157,12 @@ def _signed(docs: DataFrame, text_col: str, n: int, percent: int, parts: int) ->
     """sig, node: the signatures of each set."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for at in range(0, len(texts), 256):
-                known = {node_of(x): x for x in sets(texts[at : at + 256], n) if len(x)}
+                known = {node: x for x in sets(texts[at : at + 256], n) if len(x) and (node := node_of(x)) not in seen}
+                seen = seen | known.keys() if len(seen) < SEEN else set(known)
                 signed = [signatures(x, percent, parts) for x in known.values()]
                 if signed:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signed).astype(np.int64)), pa.array(np.repeat(np.array(list(known), np.int64), [len(x) for x in signed]))], names=["sig", "node"])
@@ -166,9 +170,8 @@ def _signed(docs: DataFrame, text_col: str, n: int, percent: int, parts: int) ->
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "sig long, node long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are alike."""
-    sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def _verified(sides: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts are alike, from rows a, b, text_b."""
     sides = sides.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
@@ -192,7 +195,7 @@ def _across(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     place = F.row_number().over(Window.partitionBy("sig").orderBy("root", "node"))
     placed = members.withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
     blocks = materialize(
-        placed.join(texts, "node").groupBy("sig", "block").agg(F.collect_list(F.struct("node", "root", "text")).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")), "jaccard-blocks"
+        placed.join(texts.select("node", "text"), "node").groupBy("sig", "block").agg(F.collect_list(F.struct("node", "root", "text")).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")), "jaccard-blocks"
     )
     ends = blocks.select("sig", F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
     grid = ends.join(ends.select("sig", F.col("i").alias("j"), F.col("low_i").alias("low_j"), F.col("high_i").alias("high_j")), "sig")
@@ -236,7 +239,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, parts: int = 3, id_c
     compared by 64-bit hashes. An empty table gives an empty table.
     """
     rows = materialize(_nodes(docs, id_col, text_col, n), "jaccard-nodes")
-    spread = _signed(docs, text_col, n, percent, parts).groupBy("sig", "node").agg(F.count(F.lit(1)).alias("_"))
+    spread = _signed(docs, text_col, n, percent, parts).repartition("sig").groupBy("sig", "node").agg(F.count(F.lit(1)).alias("_"))
     group = Window.partitionBy("sig")
     marked = spread.select("sig", "node", F.min("node").over(group).alias("least"), F.max("node").over(group).alias("most")).where("least <> most")
     shared = materialize(marked, "jaccard-shared")
@@ -245,26 +248,34 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, parts: int = 3, id_c
     first = least.groupBy("node").agg(F.max_by("least", F.struct("n", "least")).alias("a")).select("a", F.col("node").alias("b"))
     first = materialize(first, "jaccard-pairs")
     wanted = shared.select("node").distinct()
-    named = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc", F.lit(-1)).alias("d"), "doc")).alias("s")).select("node", F.col("s.doc").alias("doc"))
+    led = wanted.join(first.select("a", F.col("b").alias("node")), "node", "left")
+    named = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc", F.lit(-1)).alias("d"), "doc")).alias("s")).select("node", F.col("s.doc").alias("_doc")).join(led, "node")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    texts = source.join(named.withColumnRenamed("doc", "_doc"), source["doc"].eqNullSafe(F.col("_doc"))).select("node", "text")
+    texts = source.join(named, source["doc"].eqNullSafe(F.col("_doc"))).select("node", "a", "text")
 
     def own(batches):  # an id may stand for several texts
         for batch in batches:
-            nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            nodes, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             take = pa.array([i for i, x in enumerate(sets(texts, n)) if node_of(x) == nodes[i]], pa.int64())
             yield batch.take(take)
 
-    texts = materialize(texts.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "jaccard-texts")
-    links = materialize(_verified(first, texts, n, percent), "jaccard-links")
+    texts = texts.mapInArrow(own, "node long, a long, text string").groupBy("node").agg(F.first("a").alias("a"), F.first("text").alias("text"))
+    texts = materialize(texts, "jaccard-texts")
+    sides = texts.where("a is not null").select("a", F.col("node").alias("b"), F.col("text").alias("text_b"))
+    links = materialize(_verified(sides, texts, n, percent), "jaccard-links")
     roots = materialize(components(links), "jaccard-roots")
 
     labelled = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     apart = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("sum"), F.sum(F.xxhash64(F.lit(1), "node") % 1_000_000_009).alias("sum2"), F.min("node").alias("a"), F.max("node").alias("b"))
     apart = apart.where("low <> high").groupBy("n", "sum", "sum2", "a", "b").agg(F.min("sig").alias("sig"))  # groups of the same members once
-    tested = first.select("a", "b", F.lit(2).cast("long").alias("n"))
-    apart = apart.join(tested, ["a", "b", "n"], "left_anti").select("sig")
-    more = materialize(_across(labelled.join(apart, "sig"), texts, n, percent), "jaccard-links")
+    apart = materialize(apart.select("sig", "n"), "jaccard-apart")
+    few = labelled.join(apart.where(F.col("n") <= FEW).select("sig"), "sig")
+    pairs = few.select("sig", F.col("node").alias("a"), F.col("root").alias("root_a")).join(few.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b")), "sig")
+    pairs = pairs.where("a < b and root_a <> root_b").select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    many = labelled.join(apart.where(F.col("n") > FEW).select("sig"), "sig")
+    more = _verified(sides, texts, n, percent).unionByName(_across(many, texts, n, percent))
+    more = materialize(more, "jaccard-links")
     linked = components(links.unionByName(more))
 
     found = rows.join(linked, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
