@@ -72,15 +72,22 @@ class Model:
 def fit(rows: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Model from n-gram sets (sorted numbers) and their languages; the first rows serve as landmarks."""
     names = sorted(set(languages))
-    flags = np.zeros((len(rows), FEATURES), np.float32)
-    for flag, row in zip(flags, rows, strict=True):
-        flag[row] = 1 / np.sqrt(len(row))
-    used = np.flatnonzero(flags[:landmarks].any(0))
-    marks = flags[:landmarks, used].astype(np.float64)
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    good = values > 1e-8 * values[-1]
+    used = np.unique(np.concatenate(rows[:landmarks]))
+
+    def kernel_side(some: list[np.ndarray]) -> np.ndarray:
+        flags = np.zeros((len(some), FEATURES), np.float32)
+        for flag, row in zip(flags, some, strict=True):
+            flag[row] = 1 / np.sqrt(len(row))
+        return flags[:, used]
+
+    def batches(some: list[np.ndarray]):
+        return (kernel_side(some[i : i + BATCH]) for i in range(0, len(some), BATCH))
+
+    marks = np.concatenate(list(batches(rows[:landmarks])))
+    values, vectors = np.linalg.eigh(np.concatenate([x @ marks.T for x in batches(rows[:landmarks])]).astype(np.float64))
+    good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    features = flags[:, used] @ marks.T @ root
+    features = np.concatenate([x @ marks.T for x in batches(rows)]).astype(np.float64) @ root
     truth = np.where(np.array(languages)[:, None] == np.array(names), 1.0, -1.0)
     share = np.array([1 / languages.count(x) for x in languages])[:, None]  # each language weighs the same
     share *= len(rows) / share.sum()
