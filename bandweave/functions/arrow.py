@@ -7,12 +7,13 @@ import pyarrow as pa
 
 
 def as_matrix(column) -> np.ndarray:
-    """Equal-length list column as a rows x length matrix; missing entries become 0."""
+    """Equal-length list column as a rows x length matrix; missing or undefined entries are refused."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    flat = np.nan_to_num(flat, nan=0.0, posinf=np.inf, neginf=-np.inf)
+    if np.isnan(flat).any():
+        raise ValueError("a vector holds a missing or undefined value")
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 
 

@@ -137,8 +137,8 @@ def relevance(df: DataFrame, target: str) -> DataFrame:
     one = df.withColumn("_all", F.lit(1))
     q1, q2, q3 = exact_quantiles(one, ["_all"], target, [0.25, 0.5, 0.75]).first()["q"]
     reach = 1.5 * (q3 - q1)
-    up = (F.col(target) - F.lit(q2)) / F.lit(q3 + reach - q2)
-    down = (F.lit(q2) - F.col(target)) / F.lit(q2 - (q1 - reach))
+    up = F.coalesce(F.try_divide(F.col(target) - F.lit(q2), F.lit(q3 + reach - q2)), F.lit(0.0))  # without spread nothing is rare
+    down = F.coalesce(F.try_divide(F.lit(q2) - F.col(target), F.lit(q2 - (q1 - reach))), F.lit(0.0))
     return df.withColumn("relevance", F.least(F.greatest(up, down, F.lit(0.0)), F.lit(1.0)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandweave.operators.ranks import value_rank
-from bandweave.session import broadcast_if_bounded, materialize
+from bandweave.session import materialize
 
 TERMS = 28
 REACH = 8
@@ -34,7 +34,7 @@ def density_at(df: DataFrame, column: str, points: DataFrame, at: str, bandwidth
     where = points.withColumn("_y", F.col(at) / F.lit(float(bandwidth)))
     spots = where.select(at, "_y").distinct()
     near = spots.withColumn("_cell", F.explode(F.sequence(_cell(F.col("_y")) - REACH, _cell(F.col("_y")) + REACH)))
-    met = near.join(broadcast_if_bounded(moments), "_cell").withColumn("_t", F.col("_y") - F.col("_cell") - F.lit(0.5))
+    met = near.join(moments, "_cell").withColumn("_t", F.col("_y") - F.col("_cell") - F.lit(0.5))
     series: Column = F.col(f"_m{TERMS - 1}")
     for m in range(TERMS - 2, -1, -1):
         series = F.col(f"_m{m}") + F.col("_t") / F.lit(float(m + 1)) * series
@@ -63,13 +63,13 @@ def density_weight(df: DataFrame, column: str, eps: float = 1e-4, alpha: float =
         span = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
         lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
         ranked = value_rank(df, key, name="_i", total="_n")
-        rows = ranked.withColumn("_at", lo + F.col("_i") * (hi - lo) / (F.col("_n") - 1)).drop("_i", "_n")
+        rows = ranked.withColumn("_at", lo + F.coalesce(F.try_divide(F.col("_i") * (hi - lo), F.col("_n") - 1), F.lit(0.0))).drop("_i", "_n")
     else:
         rows = df.withColumn("_at", F.col(column).cast("double"))
     dense = materialize(density_at(df, column, rows, "_at", bandwidth).drop("_at"), "density")
     ends = dense.agg(F.min("density").alias("lo"), F.max("density").alias("hi"))
     low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
-    raw = F.greatest(F.lit(1.0) - F.lit(alpha) * (F.col("density") - low) / (high - low), F.lit(eps))
+    raw = F.greatest(F.lit(1.0) - F.lit(alpha) * F.coalesce(F.try_divide(F.col("density") - low, high - low), F.lit(0.0)), F.lit(eps))
     weighed = dense.withColumn("weight", raw)
     mean = weighed.agg(F.avg("weight")).scalar()
     return weighed.withColumn("weight", F.col("weight") / mean)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandweave.functions.draws import uniform
 from bandweave.operators.ranks import shuffled_rank
 
 
@@ -81,25 +80,19 @@ def fill_batches(df: DataFrame, size: int, seed: int, key: str = "sample_index")
     """Shuffled batches; the last one is filled with the first rows of the shuffled order."""
     ranked = shuffled_rank(df, key, seed, name="pos", total="_n")
     short = (F.lit(size) - F.col("_n") % size) % size
-    again = F.when(F.col("pos") < short, F.array("pos", F.col("pos") + F.col("_n"))).otherwise(F.array("pos"))
+    # A table smaller than a batch is gone through again and again.
+    again = F.sequence(F.col("pos"), F.col("_n") + short - 1, F.col("_n"))
     slots = ranked.withColumn("pos", F.explode(again)).drop("_n")
     return slots.withColumn("batch", F.floor(F.col("pos") / size).cast("bigint"))
 
 
 def contrastive_pairs(df: DataFrame, size: int, seed: int, key: str = "sample_index") -> DataFrame:
-    """Pair rows inside full batches: the first half with itself (0), the second half mirrored (1)."""
-    ranked = shuffled_rank(df.select(key), key, seed, name="_pos", total="_n")
+    """Pair rows inside batches: the first half with itself (0), the second half mirrored (1). The last batch is filled up."""
     half = size // 2
-    slot = F.col("_pos") % size
-    rows = ranked.select(
-        F.col(key).alias("left"),
-        F.floor(F.col("_pos") / size).cast("bigint").alias("batch"),
-        slot.alias("slot"),
-        (F.floor(F.col("_pos") / size) < F.floor(F.col("_n") / size)).alias("_full"),
-    ).where("_full")
+    rows = fill_batches(df.select(key), size, seed, key).select(F.col(key).alias("left"), "batch", (F.col("pos") % size).alias("slot"))
     mirror = rows.select("batch", F.col("slot").alias("partner"), F.col("left").alias("right"))
     partner = F.when(F.col("slot") < half, F.col("slot")).otherwise(F.lit(size - 1 + half) - F.col("slot"))
-    pairs = rows.drop("_full").withColumn("partner", partner).join(mirror, ["batch", "partner"])
+    pairs = rows.withColumn("partner", partner).join(mirror, ["batch", "partner"])
     different = (F.col("slot") >= half).cast("int")
     return pairs.select("batch", "slot", "left", "right", different.alias("different"))
 
@@ -108,7 +101,3 @@ def last_n(df: DataFrame, by, order, n: int) -> DataFrame:
     """Last n rows of each group; the row limit is applied before the shuffle."""
     latest = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= n).drop("_r")
-
-
-def with_draw(df: DataFrame, seed: int, key: str, name: str = "u") -> DataFrame:
-    return df.withColumn(name, uniform(seed, F.col(key)))

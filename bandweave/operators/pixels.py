@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bandweave import SMALL_EDGE
 from bandweave.operators.ranks import exact_quantiles
-from bandweave.session import broadcast_if_bounded
+
 
 
 def scale_values(df: DataFrame, by: float | Column) -> DataFrame:
@@ -78,14 +78,14 @@ def band_stats(pixels: DataFrame) -> DataFrame:
         F.avg("value").alias("_m1"),
         F.avg(F.col("value") * F.col("value")).alias("_m2"),
     )
-    mean = F.col("_m1") / F.col("max")
-    square = F.col("_m2") / (F.col("max") * F.col("max"))
+    mean = F.try_divide("_m1", "max")  # null for a band that is all zero
+    square = F.try_divide(F.col("_m2"), F.col("max") * F.col("max"))
     return sums.select("band", mean.alias("mean"), F.sqrt(square - mean * mean).alias("std"), "max")
 
 
 def join_band_stats(pixels: DataFrame, stats: DataFrame) -> DataFrame:
     """Pixel value as a share of its band maximum; the per-band table is broadcast after a look at its size."""
-    return pixels.join(broadcast_if_bounded(stats.select("band", "max")), "band").withColumn("share", F.col("value") / F.col("max"))
+    return pixels.join(stats.select("band", "max"), "band").withColumn("share", F.try_divide("value", "max"))
 
 
 def _set_sum() -> Column:
@@ -128,7 +128,7 @@ def pool(pixels: DataFrame, name: str) -> DataFrame:
 def channel_max_norm(df: DataFrame, quantities) -> DataFrame:
     """Divide each quantity column by its own maximum over all fields, bands and pixels."""
     peaks = df.agg(*[F.max(q).alias(q) for q in quantities])
-    return df.withColumns({q: F.col(q) / peaks.select(q).scalar() for q in quantities})
+    return df.withColumns({q: F.try_divide(F.col(q), peaks.select(q).scalar()) for q in quantities})
 
 
 def summary(df: DataFrame, cols) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandweave.functions.draws import uniform
-from bandweave.session import broadcast_if_bounded
+
 
 HASH_BUCKETS = 4096
 ROWS_PER_BUCKET = 200_000
@@ -22,33 +22,37 @@ def literal_array(values) -> Column:
     return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
+def _key(by, bucket: Column) -> Column:
+    """Group and bucket as one struct, whose nulls compare as equal, so rows with null keys keep their place."""
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    return F.struct(group.alias("by"), bucket.alias("bucket"))
+
+
 def group_rank(df: DataFrame, by, order, bucket: Column, name: str = "rank", total: str | None = None) -> DataFrame:
     """0-based position in the group; `bucket` must not decrease along `order`."""
-    by = list(by)
-    keys = [*by, "_bucket"]
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    whole = Window.partitionBy(*by)
-    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_key", _key(by, bucket))
+    sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"))
+    whole = Window.partitionBy("_key.by")
+    before = whole.orderBy("_key.bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys,
+        "_key",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
         F.sum("_size").over(whole).alias("_total"),
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
+    inside = Window.partitionBy("_key").orderBy(*order)
     ranked = rows.withColumn("_row", F.row_number().over(inside))
-    joined = ranked.join(offsets, keys)
+    joined = ranked.join(offsets, "_key")
     out = joined.withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("bigint"))
     if total:
         out = out.withColumn(total, F.col("_total").cast("bigint"))
-    return out.drop("_bucket", "_row", "_before", "_total")
+    return out.drop("_key", "_row", "_before", "_total")
 
 
 def shuffled_rank(df: DataFrame, key, seed: int, by=(), name: str = "rank", total: str | None = None) -> DataFrame:
     """Position in a repeatable shuffle: order by draw, then by key. The draw itself is the bucket."""
     keys = [key] if isinstance(key, str) else list(key)
     drawn = df.withColumn("_u", uniform(seed, *[F.col(k) for k in keys]))
-    bucket = F.floor(F.col("_u") * HASH_BUCKETS).cast("int")
+    bucket = F.floor(F.col("_u") * HASH_BUCKETS).cast("int")  # a few per group for small groups, bounded rows up to 4096 x the task size
     return group_rank(drawn, by, ["_u", *keys], bucket, name, total).drop("_u")
 
 
@@ -123,12 +127,13 @@ def exact_quantiles(df: DataFrame, by, value: str, probs, name: str = "q", bucke
     if not by:
         raise ValueError("name at least one grouping column; a constant column stands for the whole table")
     probs = [float(p) for p in probs]
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    names, by = by, ["_by"]  # one struct, so null groups stay
+    rows = df.select(F.struct(*names).alias("_by"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     grid = literal_array([i / buckets for i in range(1, buckets)])
     cuts = rows.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx("_v", grid, 10_000)).alias("_cuts"), F.count("_v").alias("_n")
     )
-    cuts = broadcast_if_bounded(cuts, 20_000)
+    cuts = cuts
     placed = sorted_lookup(rows.join(cuts, by), "_cuts", "_v", buckets - 1, "_bucket")
     counted = placed.groupBy(*by, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
     parts = counted.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_n"))
@@ -170,24 +175,22 @@ def exact_quantiles(df: DataFrame, by, value: str, probs, name: str = "q", bucke
         hi = F.element_at(F.col("_at"), F.ceil(h).cast("bigint"))
         return lo + (hi - lo) * (h - F.floor(h))
 
-    return found.select(*by, F.transform(at, interpolate).alias(name), F.col("_n").alias("n"))
+    return found.select(*[F.col("_by")[c].alias(c) for c in names], F.transform(at, interpolate).alias(name), F.col("_n").alias("n"))
 
 
 def group_running(df: DataFrame, by, order, bucket: Column, folds: dict[str, tuple[str, Column]]) -> DataFrame:
     """Running sum or min inside each group: {output: ("sum" | "min", column)}, cut by bucket like ranks."""
-    by = list(by)
-    keys = [*by, "_bucket"]
     reduce = {"sum": F.sum, "min": F.min}
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_key", _key(list(by), bucket))
     rows = rows.withColumns({f"_v_{out}": col for out, (_, col) in folds.items()})
-    parts = rows.groupBy(*keys).agg(*[reduce[k](f"_v_{out}").alias(f"_p_{out}") for out, (k, _) in folds.items()])
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = parts.select(*keys, *[reduce[k](f"_p_{out}").over(before).alias(f"_e_{out}") for out, (k, _) in folds.items()])
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy("_key").agg(*[reduce[k](f"_v_{out}").alias(f"_p_{out}") for out, (k, _) in folds.items()])
+    before = Window.partitionBy("_key.by").orderBy("_key.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = parts.select("_key", *[reduce[k](f"_p_{out}").over(before).alias(f"_e_{out}") for out, (k, _) in folds.items()])
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     running = rows.withColumns({f"_r_{out}": reduce[k](f"_v_{out}").over(inside) for out, (k, _) in folds.items()})
-    joined = running.join(earlier, keys)
+    joined = running.join(earlier, "_key")
     for out, (kind, _) in folds.items():
         now, past = F.col(f"_r_{out}"), F.col(f"_e_{out}")
         both = now + past if kind == "sum" else F.when(past <= now, past).otherwise(now)
         joined = joined.withColumn(out, F.when(past.isNull(), now).otherwise(both))
-    return joined.drop("_bucket", *[f"_{p}_{out}" for out in folds for p in "vre"])
+    return joined.drop("_key", *[f"_{p}_{out}" for out in folds for p in "vre"])

@@ -81,8 +81,8 @@ def roc(scores: DataFrame, truth: str = "truth", score: str = "score") -> DataFr
         F.col(score).alias("threshold"),
         "tp",
         "fp",
-        (F.col("fp") / F.col("fp_total")).alias("fpr"),
-        (F.col("tp") / F.col("tp_total")).alias("tpr"),
+        F.try_divide("fp", "fp_total").alias("fpr"),  # null where a class is missing
+        F.try_divide("tp", "tp_total").alias("tpr"),
     )
 
 
@@ -105,6 +105,8 @@ def equal_error(scores: DataFrame, truth: str = "truth", score: str = "score") -
 def histogram(df: DataFrame, column: str, bins: int, density: bool = False) -> DataFrame:
     """Equal-width bins from minimum to maximum, right edge closed; empty bins are kept."""
     span = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+    half = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)  # a constant column gets unit width around it
+    span = span.select((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     place = F.least(F.floor((F.col(column) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
     counts = df.where(F.col(column).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -125,6 +127,7 @@ def hexbin(df: DataFrame, x: str, y: str, nx: int, ny: int) -> DataFrame:
     span = df.agg(
         F.min(x).alias("x0"), ((F.max(x) - F.min(x)) / nx).alias("sx"), F.min(y).alias("y0"), ((F.max(y) - F.min(y)) / ny).alias("sy")
     )
+    span = span.replace(0.0, 1.0, ["sx", "sy"])  # a constant column lies in one cell
     x0, sx, y0, sy = (span.select(c).scalar() for c in ("x0", "sx", "y0", "sy"))
     unit = df.select(((F.col(x) - x0) / sx).alias("u"), ((F.col(y) - y0) / sy).alias("v"))
     corner = [F.floor(F.col(c) + 0.5) for c in "uv"]

@@ -28,7 +28,7 @@ def _errors(cols) -> list[Column]:
 
 
 def _mean_ratio(cols) -> Column:
-    return sum((F.col(f"{c}_mse") / F.col(f"{c}_mse_base") for c in cols), F.lit(0.0)) / F.lit(float(len(cols)))
+    return sum((F.try_divide(f"{c}_mse", f"{c}_mse_base") for c in cols), F.lit(0.0)) / F.lit(float(len(cols)))
 
 
 def relative_score(ev: DataFrame, by=(), cols=TARGETS) -> DataFrame:
@@ -96,13 +96,13 @@ def r2(ev: DataFrame, cols=TARGETS) -> DataFrame:
     parts = []
     for c in cols:
         error = F.avg(F.pow(F.col(c) - F.col(f"{c}_hat"), F.lit(2.0)))
-        parts.append((F.lit(1.0) - error / F.var_pop(c)).alias(c))
+        parts.append((F.lit(1.0) - F.try_divide(error, F.var_pop(c))).alias(c))
     one = ev.agg(*parts)
     return one.withColumn("mean", sum((F.col(c) for c in cols), F.lit(0.0)) / float(len(cols)))
 
 
 def weighted_mean(df: DataFrame, value: str, n: str, by=()) -> DataFrame:
-    return df.groupBy(*by).agg((F.sum(F.col(value) * F.col(n)) / F.sum(n)).alias("average"), F.sum(n).alias("count"))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * F.col(n)), F.sum(n)).alias("average"), F.sum(n).alias("count"))
 
 
 def running_weighted_mean(df: DataFrame, value: str, n: str, by, order: str, block: int = 1024) -> DataFrame:
@@ -114,7 +114,7 @@ def running_weighted_mean(df: DataFrame, value: str, n: str, by, order: str, blo
         F.floor(F.col(order) / block),
         {"_s": ("sum", F.col(value) * F.col(n)), "_n": ("sum", F.col(n))},
     )
-    return run.withColumn("average", F.col("_s") / F.col("_n")).drop("_s", "_n")
+    return run.withColumn("average", F.try_divide("_s", "_n")).drop("_s", "_n")
 
 
 def early_stop(log: DataFrame, patience: int, by=("run",), step: str = "epoch", score: str = "score", block: int = 1024) -> DataFrame:

@@ -1,17 +1,17 @@
-"""Corpus counts and fixed token windows."""
+"""Corpus counts and fixed token windows, over cleaned text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandweave.functions.text import pretokens
+from bandweave.functions.text import clean_text, pretokens
 from bandweave.operators.ranks import shuffled_rank
 
 
 def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Counts of pre-tokens over the whole corpus; frequent ones are summed before the shuffle."""
-    return df.select(F.explode(pretokens(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.explode(pretokens(clean_text(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -52,7 +52,7 @@ def token_window(df: DataFrame, vocab: DataFrame, size: int, length: int = 77, t
     cut, its last place holding the end id, or with truncate=False flagged and left without ids.
     """
     start, end, room = size + 1, size + 2, length - 2
-    split = df.select(key, pretokens(F.col(text)).alias("_t"))
+    split = df.select(key, pretokens(clean_text(F.col(text))).alias("_t"))
     split = split.select(key, F.size("_t").alias("_n"), F.slice("_t", 1, room).alias("_t"))
     placed = split.select(key, "_n", F.posexplode_outer("_t").alias("_p", "token"))
     # The dictionary side is unique per token; a token found everywhere is split by the adaptive skew join.

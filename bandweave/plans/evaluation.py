@@ -15,7 +15,7 @@ from bandweave.plans import views as v
 from bandweave.plans.pixels import rounded
 from bandweave.plans.registry import query
 from bandweave.plans.views import oracle, sql_uniform
-from bandweave.session import broadcast_if_bounded, materialize
+from bandweave.session import materialize
 
 # The stand-in fields have edges of 1 to 4 pixels.
 EDGES = (0, 1, 1.5, 2, 2.5, 3, 3.5, 210)
@@ -96,7 +96,7 @@ def a05(t):
     means = train.groupBy("level").agg(*[F.avg(c).alias(f"{c}_hat") for c in TARGETS])
     base = sc.baseline_fit(train)
     test = marked.where("fold = 0").withColumns({f"{c}_base": base.select(c).scalar() for c in TARGETS})
-    return score_rounding(sc.relative_score(test.join(broadcast_if_bounded(means), "level")))
+    return score_rounding(sc.relative_score(test.join(means, "level")))
 
 
 @query(
@@ -604,9 +604,9 @@ def m25(t):
     oracle(
         "",
         """SELECT a.pos // 16 AS batch, a.pos % 16 AS slot, a.sample_index AS "left", b.sample_index AS "right", CAST(a.pos % 16 >= 8 AS INTEGER) AS different
-           FROM s a JOIN s b ON b.pos = a.pos // 16 * 16 + CASE WHEN a.pos % 16 < 8 THEN a.pos % 16 ELSE 23 - a.pos % 16 END
-           WHERE a.pos // 16 < a.n // 16""",
+           FROM f a JOIN f b ON b.pos = a.pos // 16 * 16 + CASE WHEN a.pos % 16 < 8 THEN a.pos % 16 ELSE 23 - a.pos % 16 END""",
         s=SHUFFLED.format(u=sql_uniform(29, "o_orderkey")),
+        f="SELECT sample_index, pos FROM s UNION ALL SELECT sample_index, pos + n FROM s WHERE pos < (16 - n % 16) % 16",
     ),
 )
 def m29(t):

@@ -267,9 +267,9 @@ def inverse_normal_sql(p: str) -> str:
     )
 )
 def m18(t):
-    """With no more rows than quantiles the fitted cut points are the ordered values themselves."""
+    """900 quantiles as published, fewer where a feature has fewer rows; the cut points are then the ordered values themselves."""
     rows = long_features(v.curves(t))
-    scaler = Scaler("quantile", quantiles=max(900, t.embeddings.count())).fit(rows)
+    scaler = Scaler("quantile", quantiles=900).fit(rows)
     back = scaler.inverse(scaler.transform(rows), "t", "back")
     restored = F.abs(F.col("back") - F.col("v")) < F.lit(1e-4)  # the outermost values are clipped before the inverse
     return rounded(back.select("sample_index", "feature", "t", restored.alias("restored")), 6, "t")
@@ -318,8 +318,8 @@ def m11(t):
 @query("m12_boosted")
 def m12(t):
     rows = scored_curves(t)
-    models = mo.fit_boosted(rows.where("fold <> 0"), ["P", "K"], rounds=5, depth=4, step=0.1, seed=42)
-    return mo.predict(models, rows.where("fold = 0")).select("sample_index", "P_hat", "K_hat")
+    models = mo.fit_boosted(rows.where("fold <> 0"), TARGETS, rounds=5, depth=4, step=0.1, seed=42)
+    return mo.predict(models, rows.where("fold = 0")).select("sample_index", *[f"{c}_hat" for c in TARGETS])
 
 
 @query("m13_hybrid")
@@ -339,7 +339,7 @@ def m21(t):
         models = mo.fit_forest(train, TARGETS, trees=5, depth=4, seed=1)
         return mo.predict(models, test)
 
-    return mo.cross_validate(rows, fit_predict, 5)
+    return mo.cross_validate(rows, fit_predict)
 
 
 @query(
@@ -372,7 +372,7 @@ def m21b(t):
         hat = nb.knn_regress(train, test, 25)
         return test.join(hat.select("sample_index", *[F.col(c).alias(f"{c}_hat") for c in TARGETS]), "sample_index")
 
-    return rounded(mo.cross_validate(rows, fit_predict, 5), 7, "score")
+    return rounded(mo.cross_validate(rows, fit_predict), 7, "score")
 
 
 @query("m22_search")
@@ -382,9 +382,9 @@ def m22(t):
 
     def objective(params):
         def fit_predict(train, test):
-            return mo.predict(mo.fit_forest(train, ["K", "pH"], seed=1, **params), test)
+            return mo.predict(mo.fit_forest(train, TARGETS, seed=1, **params), test)
 
-        return mo.cross_validate(rows, fit_predict, 3, ["K", "pH"])
+        return mo.cross_validate(rows, fit_predict)
 
     return mo.search(t.spark, space, 3, objective, seed=7)
 
@@ -412,7 +412,10 @@ def m27(t):
 
 @query("m28_forest_importance")
 def m28(t):
-    rows = scored_curves(t)
-    models = mo.fit_forest(rows.where("fold <> 0"), ["P"], trees=10, depth=5, seed=42)
-    imp = mo.importances(t.spark, models["P"])
-    return rp.block_importance(imp, ["low", "mid", "high", "top"], 16)
+    """Shares of feature blocks in the forests of all targets."""
+    models = mo.fit_forest(scored_curves(t).where("fold <> 0"), TARGETS, trees=10, depth=5, seed=42)
+    out = None
+    for c in TARGETS:
+        part = rp.block_importance(mo.importances(t.spark, models[c]), ["low", "mid", "high", "top"], 16).select(F.lit(c).alias("target"), "name", "weight")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -8,10 +8,10 @@ from bandweave.functions import text as tx
 from bandweave.operators import texts as tp
 from bandweave.plans.registry import query
 from bandweave.plans.views import oracle, sql_uniform
-from bandweave.session import materialize, spread
+from bandweave.session import materialize
 
 RE2 = tx.PRETOKEN.replace("'", "''")
-TOKENS = f"SELECT doc_id, regexp_extract_all(text, '{RE2}', 0, 'i') AS toks FROM documents"
+TOKENS = f"SELECT doc_id, regexp_extract_all(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '{RE2}', 0, 'i') AS toks FROM documents"
 COUNTS = "SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM t) GROUP BY token"
 
 
@@ -67,14 +67,14 @@ def unescape_sql(x: str) -> str:
         UNION ALL SELECT -1 - doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM documents""",
 )
 def f04(t):
-    pages = spread(t.pages).select(F.col("page_id").alias("id"), F.col("html").alias("text"))
-    docs = spread(t.documents).select((F.lit(-1) - F.col("doc_id")).alias("id"), "text")
+    pages = t.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    docs = t.documents.select((F.lit(-1) - F.col("doc_id")).alias("id"), "text")
     return pages.unionByName(docs).select("id", tx.clean_text(F.col("text")).alias("text"))
 
 
 @query("f05_pretoken_counts", oracle("", "SELECT token, n FROM c", t=TOKENS, c=COUNTS))
 def f05(t):
-    return tp.pretoken_counts(spread(t.documents))
+    return tp.pretoken_counts(t.documents)
 
 
 VOCAB = f"SELECT token, row_number() OVER (ORDER BY n DESC, {sql_uniform(0, 'token')}, token) AS id FROM c"
@@ -92,7 +92,7 @@ VOCAB = f"SELECT token, row_number() OVER (ORDER BY n DESC, {sql_uniform(0, 'tok
     ),
 )
 def f06(t):
-    docs = spread(t.documents)
+    docs = t.documents
     counts = materialize(tp.pretoken_counts(docs), "counts")
     rows = tp.token_window(docs, tp.vocabulary(counts), counts.count(), truncate=True)
     return rows.select("doc_id", F.posexplode("ids").alias("pos", "id"))
@@ -107,7 +107,7 @@ def f06(t):
     ),
 )
 def f06b(t):
-    docs = spread(t.documents)
+    docs = t.documents
     counts = materialize(tp.pretoken_counts(docs), "counts")
     rows = tp.token_window(docs, tp.vocabulary(counts), counts.count(), truncate=False)
     return rows.select("doc_id", "too_long", F.when(F.col("ids").isNotNull(), F.size("ids").cast("bigint")).alias("filled"))
@@ -126,7 +126,7 @@ def f06b(t):
     ),
 )
 def f07(t):
-    return tp.pair_counts(spread(t.documents))
+    return tp.pair_counts(t.documents)
 
 
 @query("f08_run_id", "SELECT event_id, strftime(ts, '%Y%m%d%H%M') AS run_id FROM events")

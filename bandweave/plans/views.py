@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bandweave import TARGETS
 from bandweave.operators import folds as fold_ops
 from bandweave.operators.ranks import group_rank
-from bandweave.session import broadcast_if_bounded, materialize, spread
+from bandweave.session import materialize
 
 FOLDS = 5
 FOLD_SEED = 42
@@ -24,8 +24,12 @@ def pixel_values(t) -> DataFrame:
     )
 
 
-def pixel_rows(t) -> DataFrame:
-    """One row per pixel with its place in the field; bands still side by side."""
+def pixel_rows(t, full: bool = False) -> DataFrame:
+    """One row per pixel with its place in the field; bands still side by side.
+
+    The width is the side of the smallest square that holds the field, which may leave the last row short, or with `full`
+    the largest divisor of the pixel count up to its root, so that every field is a full rectangle.
+    """
     lines = t.lineitem.select(
         F.col("l_orderkey").alias("sample_index"),
         "l_linenumber",
@@ -38,7 +42,9 @@ def pixel_rows(t) -> DataFrame:
     ranked = group_rank(
         lines, ["sample_index"], ["l_linenumber", "l_partkey", "l_suppkey"], bucket, name="px", total="n"
     )
-    side = F.ceil(F.sqrt(F.col("n").cast("double"))).cast("bigint")
+    root = F.sqrt(F.col("n").cast("double"))
+    divisors = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(root)), lambda d: F.col("n") % d == 0)
+    side = F.array_max(divisors) if full else F.ceil(root).cast("bigint")
     return ranked.withColumn("w", side).select(
         "sample_index",
         "px",
@@ -62,17 +68,16 @@ def pixels(t) -> DataFrame:
 
 
 def pixels_full(t) -> DataFrame:
-    return _by_band(pixel_rows(t).where(F.col("n") % F.col("w") == 0))
+    return _by_band(pixel_rows(t, full=True))
 
 
 def stored_pixels(t, full: bool = False) -> DataFrame:
     """The pixel table as a written table, as ingest leaves it, for jobs that read it more than once."""
-    rows = pixel_rows(t)
-    return _by_band(materialize(rows.where(F.col("n") % F.col("w") == 0) if full else rows, "pixels"))
+    return _by_band(materialize(pixel_rows(t, full), "pixels"))
 
 
 def curves(t) -> DataFrame:
-    return spread(t.embeddings).select(
+    return t.embeddings.select(
         F.col("vec_id").alias("sample_index"), F.col("embedding").cast("array<double>").alias("curve"), "label"
     )
 
@@ -124,7 +129,7 @@ def evaluation(t) -> DataFrame:
     truth = materialize(folded_targets(t), "truth")
     base = fold_ops.complement_means(truth, [], "fold", TARGETS, "{}_base")
     model = fold_ops.complement_means(truth, ["o_orderpriority"], "fold", TARGETS, "{}_hat")
-    means = broadcast_if_bounded(model.join(base, "fold"))
+    means = model.join(base, "fold")
     return truth.join(means, ["o_orderpriority", "fold"])
 
 
@@ -192,8 +197,8 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "pixels_full": (
         ["pixel_rows"],
-        """SELECT sample_index, px, x, y, CAST(b AS INTEGER) AS band, bands[b + 1] AS value, masked
-           FROM pixel_rows, range(4) AS r(b) WHERE n % w = 0""",
+        """SELECT sample_index, px, px // side AS x, px % side AS y, CAST(b AS INTEGER) AS band, bands[b + 1] AS value, masked
+           FROM (SELECT *, list_max([d for d in range(1, CAST(floor(sqrt(n)) AS BIGINT) + 1) if n % d = 0]) AS side FROM pixel_rows), range(4) AS r(b)""",
     ),
     "sizes": (
         ["pixels"],

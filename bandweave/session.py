@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, name: str = "bandweave", **conf) -> SparkSession:
@@ -15,6 +17,7 @@ def local_session(cores: int | str = 8, name: str = "bandweave", **conf) -> Spar
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.files.maxPartitionBytes", "2m")  # small test files still give every core a task
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -44,9 +47,20 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if _test_folder is None:
         _test_folder = tempfile.mkdtemp(prefix="bandweave-")
+        atexit.register(shutil.rmtree, _test_folder, ignore_errors=True)
     return _test_folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let workers import this package wherever they start, for sessions that were not given it by --py-files."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    if spark.conf.get("spark.bandweave.shipped", None) is None:
+        folder = tempfile.mkdtemp(prefix="bandweave-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/bandweave", "zip", os.path.dirname(root), "bandweave"))
+        spark.conf.set("spark.bandweave.shipped", "true")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -57,20 +71,3 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan of few tasks over the cores ahead of heavy per-row work.
-
-    A table with a task per core or more, as any large one has, is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def broadcast_if_bounded(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Broadcast hint behind a count of the rows; past the bound Spark picks the join itself."""
-    df = df.persist()
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df

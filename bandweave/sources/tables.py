@@ -35,21 +35,31 @@ def write_submission(df: DataFrame, path: str, single_file: bool = False) -> Non
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """Add rows to an experiment log; the column names are kept with the data."""
-    df.write.mode("append").option("header", True).csv(path)
+    """Add rows to an experiment log; the column names are kept with the data, and columns follow the order of the log."""
+    try:
+        header = df.sparkSession.read.option("header", True).csv(path).columns
+    except AnalysisException:  # no log yet
+        header = df.columns
+    if sorted(header) != sorted(df.columns):
+        raise ValueError(f"the log has columns {header}, the rows have {df.columns}")
+    df.select(*header).write.mode("append").option("header", True).csv(path)
 
 
 def cached(df: DataFrame, path: str) -> DataFrame:
     """Read the table at `path`; compute and write it first where it is missing."""
     spark = df.sparkSession
     try:
-        return spark.read.schema(df.schema).parquet(path)
+        stored = spark.read.parquet(path)
     except AnalysisException:
         df.write.mode("ignore").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        stored = spark.read.parquet(path)
+    if stored.dtypes != df.dtypes:
+        raise ValueError(f"{path} holds {stored.dtypes}, not {df.dtypes}")
+    return stored
 
 
 def save_eval(df: DataFrame, path: str, model: str, run_id: str) -> None:
     """Truth, prediction and baseline of a run, in one folder per model and run."""
     marked = df.withColumns({"model": F.lit(model), "run_id": F.lit(run_id)})
-    marked.write.mode("append").partitionBy("model", "run_id").parquet(path)
+    # A run that is saved again takes the place of its first rows.
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "run_id").parquet(path)
