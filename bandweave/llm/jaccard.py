@@ -7,9 +7,10 @@ into n2 parts; of each partition, the subsets of n2 - 1 parts are enumerated, an
 it. Two similar sets agree in one of them. Sets that agree are candidates, and candidates are compared exactly.
 
 Equal sets count as one node. Each node is first compared with the least node of the groups it shares, the one with which it
-shares most signatures. Where a group still holds several components, all its pairs across components are compared, so no link
-is lost and no pairs within a component are formed: groups of at most FEW nodes by their distinct pairs, larger ones block by
-block of texts.
+shares most signatures. Where a group still holds several components, its nodes are compared across components, so no link is
+lost and no pairs within a component are formed: block by block of sketches, whose differing cells are a lower bound of the
+differing shingles, and then by text. Two rounds take the most promising pair of each two components in a block, as one link
+joins them; the last takes every pair that the sketches leave.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from bandweave.llm.components import components
 from bandweave.session import materialize
 
-BLOCK, FEW = 64, 6  # texts compared at a time, nodes of a group whose pairs are listed
+BLOCK, CELLS = 128, 512  # sketches compared at a time, and their bytes
 SEEN = 1 << 20  # nodes a task remembers, so that copies are signed once
 CHUNK = 1 << 20  # bytes of text hashed at a time
 
@@ -136,6 +137,13 @@ def signatures(items: np.ndarray, percent: int, parts: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """A byte for each cell of shingles; sets that differ in d shingles differ in at most d cells."""
+    cells = np.zeros(CELLS, np.uint64)
+    np.add.at(cells, (items % np.uint64(CELLS)).astype(np.int64), mix(items))
+    return (cells >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
@@ -190,43 +198,44 @@ def _verified(sides: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between members of a group (sig, node, root) that lie in different components, by blocks of texts."""
+def _across(members: DataFrame, texts: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs a < b of a group (sig, node, root) in different components that may be alike: the best of two components in a block, or every one."""
     place = F.row_number().over(Window.partitionBy("sig").orderBy("root", "node"))
     placed = members.withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
-    blocks = materialize(
-        placed.join(texts.select("node", "text"), "node").groupBy("sig", "block").agg(F.collect_list(F.struct("node", "root", "text")).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")), "jaccard-blocks"
-    )
+    rows = F.collect_list(F.struct("node", "root", "n", "cells"))
+    blocks = placed.join(texts.select("node", "n", "cells"), "node").groupBy("sig", "block").agg(rows.alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = materialize(blocks, "jaccard-blocks")
     ends = blocks.select("sig", F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
     grid = ends.join(ends.select("sig", F.col("i").alias("j"), F.col("low_i").alias("low_j"), F.col("high_i").alias("high_j")), "sig")
     grid = grid.where("i <= j and not (low_i = high_j and low_j = high_i)").select("sig", "i", "j")
     left = blocks.select("sig", F.col("block").alias("i"), F.col("rows").alias("rows_i"))
     right = blocks.select("sig", F.col("block").alias("j"), F.col("rows").alias("rows_j"))
-    both = grid.join(left, ["sig", "i"]).join(right, ["sig", "j"]).select((F.col("i") == F.col("j")).alias("same"), "rows_i", "rows_j")
+    both = grid.join(left, ["sig", "i"]).join(right, ["sig", "j"]).select("rows_i", "rows_j")
+
+    def columns(rows):
+        numbers = [np.array([r[k] for r in rows], np.int64) for k in ("node", "root", "n")]
+        return *numbers, np.frombuffer(b"".join(r["cells"] for r in rows), np.uint8).reshape(-1, CELLS)
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            for same, left, right in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                one = sets([r["text"] for r in left], n)
-                two = one if same else sets([r["text"] for r in right], n)
-                root = {r["root"]: r["root"] for r in [*left, *right]}  # joined within this block pair
-
-                def top(x, root=root):
-                    while root[x] != x:
-                        x = root[x]
-                    return x
-
-                for x in range(len(left)):
-                    for y in range(x + 1 if same else 0, len(right)):
-                        p, q = top(left[x]["root"]), top(right[y]["root"])
-                        if p != q and alike(one[x], two[y], percent):
-                            root[max(p, q)] = min(p, q)
-                            a.append(left[x]["node"])
-                            b.append(right[y]["node"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+            found = [np.zeros((0, 2), np.int64)]
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (node, root, n, cells), (node2, root2, n2, cells2) = columns(one), columns(two)
+                gap = np.stack([np.count_nonzero(cells2 != c, axis=1) for c in cells])
+                n, n2 = n[:, None], n2[None, :]
+                able = (root[:, None] != root2) & (gap <= (n + n2) * (100 - percent) // (100 + percent)) & (np.minimum(n, n2) * 100 >= percent * np.maximum(n, n2))
+                i, j = np.nonzero(able)
+                if not every:
+                    order = np.lexsort((gap[i, j], np.maximum(root[i], root2[j]), np.minimum(root[i], root2[j])))
+                    i, j = i[order], j[order]
+                    low, high = np.minimum(root[i], root2[j]), np.maximum(root[i], root2[j])
+                    first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(i) else np.zeros(0, bool)
+                    i, j = i[first], j[first]
+                found.append(np.stack([np.minimum(node[i], node2[j]), np.maximum(node[i], node2[j])], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, parts: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,28 +264,29 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, parts: int = 3, id_c
 
     def own(batches):  # an id may stand for several texts
         for batch in batches:
-            nodes, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            take = pa.array([i for i, x in enumerate(sets(texts, n)) if node_of(x) == nodes[i]], pa.int64())
-            yield batch.take(take)
+            nodes, found = batch.column(0).to_pylist(), sets(batch.column(2).to_pylist(), n)
+            kept = [i for i, x in enumerate(found) if node_of(x) == nodes[i]]
+            more = [pa.array([len(found[i]) for i in kept], pa.int64()), pa.array([sketch(found[i]) for i in kept], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept, pa.int64())).columns, *more], names=["node", "a", "text", "n", "cells"])
 
-    texts = texts.mapInArrow(own, "node long, a long, text string").groupBy("node").agg(F.first("a").alias("a"), F.first("text").alias("text"))
+    texts = texts.mapInArrow(own, "node long, a long, text string, n long, cells binary").groupBy("node").agg(*[F.first(c).alias(c) for c in ("a", "text", "n", "cells")])
     texts = materialize(texts, "jaccard-texts")
     sides = texts.where("a is not null").select("a", F.col("node").alias("b"), F.col("text").alias("text_b"))
     links = materialize(_verified(sides, texts, n, percent), "jaccard-links")
-    roots = materialize(components(links), "jaccard-roots")
-
-    labelled = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    apart = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("sum"), F.sum(F.xxhash64(F.lit(1), "node") % 1_000_000_009).alias("sum2"), F.min("node").alias("a"), F.max("node").alias("b"))
-    apart = apart.where("low <> high").groupBy("n", "sum", "sum2", "a", "b").agg(F.min("sig").alias("sig"))  # groups of the same members once
-    apart = materialize(apart.select("sig", "n"), "jaccard-apart")
-    few = labelled.join(apart.where(F.col("n") <= FEW).select("sig"), "sig")
-    pairs = few.select("sig", F.col("node").alias("a"), F.col("root").alias("root_a")).join(few.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b")), "sig")
-    pairs = pairs.where("a < b and root_a <> root_b").select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    many = labelled.join(apart.where(F.col("n") > FEW).select("sig"), "sig")
-    more = _verified(sides, texts, n, percent).unionByName(_across(many, texts, n, percent))
-    more = materialize(more, "jaccard-links")
-    linked = components(links.unionByName(more))
+    tested = first
+    for every in (False, False, True):
+        roots = materialize(components(links), "jaccard-roots")
+        labelled = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        sums = [F.sum(F.xxhash64(F.lit(i), "node") % 1_000_000_007).alias(f"sum{i}") for i in (1, 2)]
+        apart = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), *sums, F.min("node").alias("a"), F.max("node").alias("b"))
+        apart = apart.where("low <> high").groupBy("n", "sum1", "sum2", "a", "b").agg(F.min("sig").alias("sig"))  # groups of the same members once
+        apart = materialize(apart.join(tested.select("a", "b", F.lit(2).cast("long").alias("n")), ["a", "b", "n"], "left_anti").select("sig"), "jaccard-apart")
+        pairs = _across(labelled.join(apart, "sig"), texts, percent, every).join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "jaccard-pairs")
+        sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        more = materialize(_verified(sides, texts, n, percent), "jaccard-links")
+        links, tested = links.unionByName(more), tested.unionByName(pairs)
+    linked = components(links)
 
     found = rows.join(linked, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     found = materialize(found, "jaccard-found")
