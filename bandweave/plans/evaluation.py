@@ -77,7 +77,7 @@ SCORED = """SELECT t.sample_index, f.fold, t.P, t.K, t.Mg, t.pH, c.m0, c.m1, c.m
         "targets folds",
         score_rows_sql("ev"),
         scored=SCORED,
-        sized="SELECT *, CAST(coalesce(floor(m0 / 10), -1) AS INTEGER) AS level FROM scored",
+        sized="SELECT *, CAST(coalesce(floor(round(10 * (m0 / 50 + m1 / 100000 + m2 / 0.1 + m3 / 0.08), 6)), -1) AS INTEGER) AS level FROM scored",
         level="SELECT level, " + ", ".join(f"avg({c}) AS {c}_hat" for c in TARGETS) + " FROM sized WHERE fold <> 0 GROUP BY level",
         ev="SELECT s.*, "
         + ", ".join(f"l.{c}_hat" for c in TARGETS)
@@ -87,9 +87,10 @@ SCORED = """SELECT t.sample_index, f.fold, t.P, t.K, t.Mg, t.pH, c.m0, c.m1, c.m
     ),
 )
 def a05(t):
-    """Flagship: curve of the unmasked pixels, joined to targets; predict by the mean of curves alike."""
-    curve = px.curve(v.pixel_values(t).where("band = 0"))
-    level = F.coalesce(F.floor(F.col("v") / 10).cast("int"), F.lit(-1))
+    """Flagship: curve of the unmasked pixels, joined to targets; predict by the mean of curves whose bands, as shares of their ranges, sum up alike."""
+    share = F.element_at(F.map_from_arrays(F.array(*map(F.lit, range(4))), F.array(*map(F.lit, (50.0, 100000.0, 0.1, 0.08)))), F.col("band"))
+    curve = px.curve(v.pixel_values(t)).groupBy("sample_index").agg(F.sum(F.col("v") / share).alias("s"))
+    level = F.coalesce(F.floor(F.round(10 * F.col("s"), 6)).cast("int"), F.lit(-1))
     joined = v.folded_targets(t).join(curve.select("sample_index", level.alias("level")), "sample_index")
     marked = materialize(joined.select("sample_index", "fold", "level", *TARGETS), "marked")
     train = marked.where("fold <> 0")

@@ -54,12 +54,12 @@ def test_wavelet_taps_and_lengths():
     assert wl.cascade(np.ones((1, 150)), "dmey")[0].shape == (1, 150)
 
 
-@pytest.mark.parametrize("limits", [(1024, 4_000_000), (4, 4_000_000), (4, 20)])
+@pytest.mark.parametrize("limits", [(1024, 1_000_000), (4, 1_000_000), (4, 6)])
 def test_singular_profile_by_every_route(spark, monkeypatch, limits):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(fe, "LIST_PIXELS", limits[0])
-    monkeypatch.setattr(fe, "IMAGE_PIXELS", limits[1])
-    shapes = {1: (2, 2), 2: (3, 5), 3: (6, 4), 4: (1, 1)}
+    monkeypatch.setattr(fe, "CHUNK_PIXELS", limits[1])
+    shapes = {1: (2, 2), 2: (3, 5), 3: (6, 4), 4: (1, 1), 5: (1, 23), 6: (31, 2)}
     rows, want = [], {}
     for key, (h, w) in shapes.items():
         cube, mask = rng.normal(size=(2, h, w)), rng.random((2, h, w)) < 0.2
@@ -76,7 +76,15 @@ def test_singular_profile_by_every_route(spark, monkeypatch, limits):
     got = {(r["sample_index"], r["band"]): r["sigma"] for r in fe.singular_profile(df).collect()}
     assert got.keys() == want.keys()
     for key, s in want.items():
-        np.testing.assert_allclose(got[key], s, atol=1e-6)
+        np.testing.assert_allclose(got[key], s, atol=1e-9)
+
+
+def test_singular_profile_of_a_long_strip(spark):
+    """One row of 100,000 pixels: the wrapped square has a single singular value, the row's length times the root of its repeats."""
+    df = spark.range(100_000).selectExpr("1L as sample_index", "0 as band", "id as px", "0L as x", "id as y", "double(id % 7) as value", "false as masked")
+    sigma = fe.singular_profile(df).first()["sigma"]
+    want = np.sqrt(sum((i % 7) ** 2 for i in range(100_000)) * 100_000.0)
+    np.testing.assert_allclose(sigma, [want, 0, 0, 0, 0], rtol=1e-12)
 
 
 def test_features_have_the_layout(spark):
