@@ -8,8 +8,8 @@ it. Two similar sets agree in one of them. Sets that agree are candidates, and c
 
 Equal sets count as one node. Each node is first compared with the least node of the groups it shares, the one with which it
 shares most signatures. Where a group still holds several components, its nodes are compared across components, so no link is
-lost and no pairs within a component are formed: block by block of sketches, whose differing cells are a lower bound of the
-differing shingles, and then by text. Two rounds take the most promising pair of each two components in a block, as one link
+lost and no pairs within a component are formed: block by block of sketches, shingles cut to SHORT bits, whose common ones are an upper
+bound of the common shingles, and then by text. Two rounds take the most promising pair of each two components in a block, as one link
 joins them; the last takes every pair that the sketches leave.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from bandweave.llm.components import components
 from bandweave.session import materialize
 
-BLOCK, CELLS = 128, 512  # sketches compared at a time, and their bytes
+BLOCK, SHORT = 128, 20  # sketches compared at a time, and the bits they keep of each shingle
 SEEN = 1 << 20  # nodes a task remembers, so that copies are signed once
 CHUNK = 1 << 20  # bytes of text hashed at a time
 
@@ -138,10 +138,25 @@ def signatures(items: np.ndarray, percent: int, parts: int) -> np.ndarray:
 
 
 def sketch(items: np.ndarray) -> bytes:
-    """A byte for each cell of shingles; sets that differ in d shingles differ in at most d cells."""
-    cells = np.zeros(CELLS, np.uint64)
-    np.add.at(cells, (items % np.uint64(CELLS)).astype(np.int64), mix(items))
-    return (cells >> np.uint64(56)).astype(np.uint8).tobytes()
+    """The last SHORT bits of each shingle."""
+    return (items & np.uint64((1 << SHORT) - 1)).astype("<u4").tobytes()
+
+
+def common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Upper bound of the number of common shingles of each pair: members of one that the other holds, the less of both ways."""
+    mark = np.zeros(1 << SHORT, bool)
+
+    def ways(some, others):
+        joined = np.concatenate(others)
+        starts = np.cumsum([0, *(len(x) for x in others[:-1])])
+        out = np.zeros((len(some), len(others)), np.int64)
+        for i, x in enumerate(some):
+            mark[x] = True
+            out[i] = np.add.reduceat(mark[joined].astype(np.int64), starts)
+            mark[x] = False
+        return out
+
+    return np.minimum(ways(one, two), ways(two, one).T)
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -214,16 +229,17 @@ def _across(members: DataFrame, texts: DataFrame, percent: int, every: bool) ->
 
     def columns(rows):
         numbers = [np.array([r[k] for r in rows], np.int64) for k in ("node", "root", "n")]
-        return *numbers, np.frombuffer(b"".join(r["cells"] for r in rows), np.uint8).reshape(-1, CELLS)
+        return *numbers, [np.frombuffer(r["cells"], "<u4") for r in rows]
 
     def run(batches):
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (node, root, n, cells), (node2, root2, n2, cells2) = columns(one), columns(two)
-                gap = np.stack([np.count_nonzero(cells2 != c, axis=1) for c in cells])
-                n, n2 = n[:, None], n2[None, :]
-                able = (root[:, None] != root2) & (gap <= (n + n2) * (100 - percent) // (100 + percent)) & (np.minimum(n, n2) * 100 >= percent * np.maximum(n, n2))
+                both_hold = common(cells, cells2)
+                total = n[:, None] + n2[None, :]
+                gap = total - 2 * both_hold
+                able = (root[:, None] != root2) & (100 * both_hold >= percent * (total - both_hold))
                 i, j = np.nonzero(able)
                 if not every:
                     order = np.lexsort((gap[i, j], np.maximum(root[i], root2[j]), np.minimum(root[i], root2[j])))
