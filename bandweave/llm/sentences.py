@@ -1,8 +1,9 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of several consecutive sentences is hashed: from each sentence on, the shortest run of at least `least` sentences
-and `words` words. Runs are joined across all documents, and sentences that lie in a run which is not the first of its kind
-are removed. The first is the one of least document id, then of least position.
+Runs of several consecutive sentences are hashed: from each sentence on, and up to each sentence, the shortest run of at
+least `least` sentences and `words` words. Runs are joined across all documents, and sentences that lie in a run which is not
+the first of its kind are removed. The first is the one of least document id, then of least position. Any longer run that
+repeats is covered by the shortest runs that start in it and the one that ends with it, so the result is that of all runs.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ def split(text: str) -> list[str]:
 def runs(sentences: list[str], least: int = LEAST, words: int = WORDS) -> list[tuple[int, int, str]]:
     """(first sentence, number, normal form) of each run; case and white space don't count."""
     plain = [x.lower().split() for x in sentences]
-    ends = np.cumsum([len(x) for x in plain])
+    before = np.concatenate([[0], np.cumsum([len(x) for x in plain], dtype=np.int64)])
     joined = [" ".join(x) for x in plain]
-    stop = np.maximum(np.searchsorted(ends, words + np.concatenate([[0], ends[:-1]])) + 1, np.arange(len(plain)) + least) if plain else []
-    return [(i, e - i, "\n".join(joined[i:e])) for i, e in enumerate(np.asarray(stop).tolist()) if e <= len(plain)]
+    at = np.arange(len(plain) + 1)
+    stop = np.maximum(np.searchsorted(before, before[:-1] + words), at[:-1] + least)
+    start = np.minimum(np.searchsorted(before, before[1:] - words, side="right") - 1, at[1:] - least)
+    found = {(i, e) for i, e in enumerate(stop.tolist()) if e <= len(plain)} | {(i, e) for e, i in enumerate(start.tolist(), 1) if i >= 0}
+    return [(i, e - i, "\n".join(joined[i:e])) for i, e in sorted(found)]
 
 
 def _key(text: Column) -> Column:

@@ -153,6 +153,32 @@ def test_sentences_against_brute_force(docs, texts):
     assert sentences.dedup(docs.limit(0)).count() == 0
 
 
+def test_sentences_against_all_runs(spark):
+    """Also runs longer than the shortest, whose last sentences no run from a sentence on ends at."""
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) + "."
+    passage = " ".join(fresh(n) for n in (40, 6, 6))
+    texts = [passage, f"{fresh(30)} {passage}", f"{passage} {fresh(30)}"]
+    pool = [fresh(rng.choice([1, 3, 6, 9, 15, 30])) for _ in range(12)]
+    for _ in range(60):
+        parts = [rng.choice(pool) if rng.random() < 0.3 else fresh(rng.randint(1, 12)) for _ in range(rng.randint(1, 6))]
+        at = rng.randrange(len(pool))
+        texts.append(" ".join([*parts, *pool[at : at + rng.randint(0, 6)], *([fresh(4)] if rng.random() < 0.5 else [])]))
+    split = [sentences.split(x) for x in texts]
+    plain = [[tuple(s.lower().split()) for s in x] for x in split]
+    every = [(k, i, e) for k, x in enumerate(plain) for i in range(len(x)) for e in range(i + 2, len(x) + 1) if sum(map(len, x[i:e])) >= 20]
+    first, gone = {}, [[False] * len(x) for x in plain]
+    for k, i, e in every:
+        first.setdefault(tuple(plain[k][i:e]), (k, i))
+    for k, i, e in every:
+        if first[tuple(plain[k][i:e])] != (k, i):
+            gone[k][i:e] = [True] * (e - i)
+    assert gone[1] == [False, True, True, True] and gone[2] == [True, True, True, False]
+    out = sentences.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    want = {k: "".join(s for s, g in zip(split[k], gone[k], strict=True) if not g) for k in range(len(texts))}
+    assert {r.doc_id: r.text for r in out.collect()} == want
+
+
 def test_merged_transforms_against_brute_force():
     rng = random.Random(3)
     for alphabet in ("a", "ab", "abc ", "abcdefghijklmnop \0"):
