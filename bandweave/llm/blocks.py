@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def finite(v: Column) -> Column:
+    """Whether no component is null, NaN or infinite; null for a null vector."""
+    return ~F.exists(v.cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """`id` and `v` (doubles) of rows whose vector takes part: an id, no null, NaN or infinite component, not empty.
 
     Rows with the same id count as one, with the least of their vectors.
     """
     v = F.col(vector_col).cast("array<double>")
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0").where(~bad)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0").where(finite(F.col("v")))
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandweave.llm import ann, bpe, jaccard, langid, packing, quality, sentences, suffixes, topk, url_rules
+from bandweave.llm.blocks import finite
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,7 +90,8 @@ select * from ranked where rank <= 20
 
 @query("op3_topk", TOPK_SQL)
 def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))).alias("embedding"))
+    known = table(spark, folder, "embeddings").where(finite(F.col("embedding")))  # floors of NaN and infinity are finite
+    vectors = known.select("vec_id", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))).alias("embedding"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 

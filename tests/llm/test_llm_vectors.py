@@ -40,6 +40,24 @@ def test_top_k_is_exact(vectors, k):
     assert got == want
 
 
+def test_top_k_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from bandweave.llm.queries import ORACLES, QUERIES
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(100)]
+    rows += [(k, [x, *[3.0] * 3]) for k, x in ((100, float("nan")), (101, float("nan")), (120, float("inf")), (121, float("inf")), (123, float("-inf")), (140, None), (141, None))]
+    rows += [(160, None), (180, [])]
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    want = sorted(con.execute(ORACLES["op3_topk"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["op3_topk"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == want and len(want) == 100
+
+
 def test_nearest_with_all_lists_is_exact(vectors):
     rows = {i: v for i, v in valid(vectors).items() if any(v)}
     got = ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5, probes=1.0).collect()
