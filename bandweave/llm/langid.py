@@ -62,11 +62,15 @@ class Model:
     bias: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by text and language, and the share of each text's n-grams that the landmarks hold."""
         flags = np.zeros((len(texts), FEATURES), np.uint8)
         for row, text in zip(flags, texts, strict=True):
             presence(text, row)
-        size = np.sqrt(np.count_nonzero(flags, axis=1))
-        return flags[:, self.used].astype(np.float32) @ self.weights / size[:, None] + self.bias
+        size, held = np.count_nonzero(flags, axis=1), flags[:, self.used]
+        return held.astype(np.float32) @ self.weights / np.sqrt(size)[:, None] + self.bias, np.count_nonzero(held, axis=1) / size
 
 
 def fit(rows: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -130,26 +134,30 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit(rows, [r.lang for r in found])
 
 
-def predict(docs: DataFrame, model: Model | None, columns: list[str], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, columns: list[str], text_col: str = "text", known_col: str | None = None) -> DataFrame:
     """`columns` of each row with lang_pred and score (0 to 1) of the whole text; `und` and 0.0 for a null text or one without letters.
 
-    The score is 0.5 where the best language's regression is undecided. No shuffle; every row comes out, repeated ones too.
+    The score is 0.5 where the best language's regression is undecided. `known_col` names a further column: the share of the
+    text's n-grams that the model's landmarks hold, which tells texts in no learned language apart, as scores can't: those of
+    L languages sum to a constant, so that the best is never below 1 / L. No shuffle; every row comes out, repeated ones too.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    made = ["lang_pred", "score", *([] if known_col is None else [known_col])]
 
     def run(batches):
         known = held.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            names, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             rows = [i for i, x in enumerate(texts) if known is not None and has_letter(x)]
             for at in range(0, len(rows), BATCH):
                 some = rows[at : at + BATCH]
-                found = known.scores([texts[i] for i in some])
+                found, share = known.judged([texts[i] for i in some])
                 best = found.argmax(1)
-                for i, b, s in zip(some, best.tolist(), found[np.arange(len(some)), best].tolist(), strict=True):
-                    names[i], scores[i] = known.languages[b], min(1.0, max(0.0, (s + 1) / 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+                for i, b, s, n in zip(some, best.tolist(), found[np.arange(len(some)), best].tolist(), share.tolist(), strict=True):
+                    names[i], scores[i], shares[i] = known.languages[b], min(1.0, max(0.0, (s + 1) / 2)), n
+            more = [scores] if known_col is None else [scores, shares]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), *(pa.array(x, pa.float64()) for x in more)], names=[*columns, *made])
 
-    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    more = [StructField(c, StringType() if c == "lang_pred" else DoubleType()) for c in made]
     return docs.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, StructType([*(docs.schema[c] for c in columns), *more]))

@@ -292,6 +292,23 @@ def test_language_id(spark, docs):
     assert {r.lang_pred for r in langid.predict(rows, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_no_language_explains(spark):
+    import base64
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    learned = languages(spark).where("lang <> 'cc'")
+    short = [(1000 + i, " ".join(r.text.split(" ")[:2]), None) for i, r in enumerate(learned.limit(20).collect())]
+    noise = [(2000 + i, "".join(rng.choices(letters, k=rng.choice([40, 300]))), None) for i in range(20)]
+    noise += [(2100 + i, base64.b64encode(rng.randbytes(200)).decode(), None) for i in range(20)]
+    other = [(3000 + r.doc_id, r.text, None) for r in languages(spark).where("lang = 'cc' and length(text) > 40").collect()]
+    rows = learned.unionByName(spark.createDataFrame([*short, *noise, *other], learned.schema))
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, rows, "").collect()}
+    assert {r.doc_id for r in learned.collect()} | {i for i, _, _ in short} == set(kept)
+    assert set(kept.values()) == {"aa", "bb"} and len(other) > 50
+
+
 def test_folded_weights_are_the_kernel_regression():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 60, 25)) for _ in range(30)]
