@@ -398,3 +398,16 @@ def test_pipeline_stages_hold_together(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_pipeline_join_judges_rows(spark):
+    """Copies without id go, also those linked with an id; rows that share an id but not the text are judged apart."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    one, two, three, four = (prose(rng, 120) for _ in range(4))
+    near = two.split(" ")
+    near[60] = "changed"
+    rows = [(None, one), (None, one), (None, two), (3, " ".join(near)), (None, two), (5, three), (7, three), (7, four), (None, prose(rng, 90)), (9, four), (9, four), (11, ""), (11, None), (None, "")]
+    out = corpus_pipeline.jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[k] for k in (0, 3, 5, 7, 8, 11, 12, 13)], key=str)
