@@ -87,15 +87,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def cut(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Pieces of at most `capacity` ids: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens.
 
     A document's ids end with id 1; a null or empty text has that id only. Full windows come first, the rest is the last
-    piece. Repeated rows are documents of their own. No shuffle.
+    piece. Repeated rows are documents of their own. With `added`, added tokens of the vocabulary that a text holds literally
+    get their own ids. No shuffle.
     """
 
     def run(batches):
-        encode = library_encoder(path)
+        encode = library_encoder(path, added)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _chunks(texts, [len(x or "") for x in texts]):

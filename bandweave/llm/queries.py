@@ -31,7 +31,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query("op1_packing")
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.cut(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.cut(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
     pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(pieces)
 

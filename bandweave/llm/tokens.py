@@ -36,19 +36,36 @@ def json_ranks(path: str) -> dict[bytes, int]:
     return ids
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens of a `.json` file; those that take in white space or need whole words are refused."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file).get("added_tokens", ())
+    if any(x.get(k) for x in found for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens of this vocabulary aren't plain strings")
+    return {x["content"]: x["id"] for x in found}
+
+
 @functools.cache
 def _to_latin() -> dict[int, str]:
     return {ord(c): chr(b) for c, b in byte_letters().items()}
 
 
 @functools.cache
-def library_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Encoder of whole texts for the byte-level vocabulary in a `.json` or `.tiktoken` file; no string is special."""
+def library_encoder(path: str, added: bool = False) -> Callable[[str], np.ndarray]:
+    """Encoder of whole texts for the byte-level vocabulary in a `.json` or `.tiktoken` file.
+
+    With `added`, the added tokens of a `.json` file are found in texts, as the tokenizers library does by default; otherwise
+    no string is special.
+    """
     import public_tokenizers
     import tiktoken
 
     ranks = json_ranks(path) if path.endswith(".json") else rank_file(path)
-    made = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    made = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path) if added else {})
+    if added:
+        return lambda text: np.array(made.encode(text, allowed_special="all"), dtype="<u4")
     return lambda text: np.array(made.encode_ordinary(text), dtype="<u4")
 
 

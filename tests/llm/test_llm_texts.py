@@ -107,6 +107,22 @@ def test_library_encoder_equals_the_tokenizers_library(texts):
         assert library_encoder(JSON)(x or "").tolist() == tok.encode(x or "", add_special_tokens=False).ids
 
 
+def test_packing_query_gives_added_tokens_their_ids(spark, texts, tmp_path):
+    from bandweave.llm.queries import QUERIES
+
+    tok = Tokenizer.from_file(JSON)
+    some = [*texts, "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n <|endoftext|", "x  <|endoftext|>  y <|EndOfText|>"]
+    spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = collections.Counter()
+    for i, x in enumerate(some):
+        ids = np.array([*tok.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        assert library_encoder(JSON, added=True)(x or "").tolist() == ids[:-1].tolist()
+        want.update((i, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)) for a in range(0, len(ids), 2048))
+    assert 50256 in tok.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    rows = QUERIES["op1_packing"](spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+
+
 @pytest.mark.parametrize("leaf", [1, 3, 8])
 def test_tree_reduction_equals_plain_bpe(leaf):
     rng = random.Random(leaf)
