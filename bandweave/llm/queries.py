@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import ann, bpe, jaccard, langid, packing, quality, sentences, suffixes, topk, url_rules
+from bandweave.llm import ann, bpe, collocations, jaccard, langid, packing, quality, resample, sentences, suffixes, topk, url_rules
 from bandweave.llm.blocks import finite
+from bandweave.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, folder)
+
+        run.__name__ = name
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -138,3 +144,56 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+COLLOCATION_SQL = r"""
+with texts as (
+    select coalesce(lang, 'und') as lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents where text is not null
+), pieces as (
+    select lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from texts
+), placed as (
+    select lang, w, unnest(range(1, len(w) + 1)) as i from pieces
+), sized as (
+    select lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) as words from placed
+), counted as (
+    select lang, words, array_to_string(w[i : i + words - 1], ' ') as phrase, count(*) as f from sized group by all
+), totals as (
+    select lang, sum(f)::hugeint as n from counted where words = 1 group by lang
+), known as (
+    select * from counted where f >= 100
+), candidates as (
+    select lang, phrase, words, f as a, string_split(phrase, ' ') as w from known where words > 1
+), cuts as (
+    select lang, phrase, words, a, w, unnest(range(1, words)) as k from candidates
+), scored as (
+    select c.lang, c.phrase, c.words, c.a, c.k, x.f as l, y.f as r, t.n, (1000 * c.a::hugeint * t.n) // (x.f::hugeint * y.f::hugeint) as score
+    from cuts c
+    join known x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : c.k], ' ')
+    join known y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1 : c.words], ' ')
+    join totals t on t.lang = c.lang
+), best as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), spans as (
+    select lang, a, w, words, unnest(range(2, words)) as size from candidates
+), starts as (
+    select lang, a, w, size, unnest(range(1, words - size + 2)) as i from spans
+), inner_phrases as (
+    select lang, array_to_string(w[i : i + size - 1], ' ') as phrase, max(a) as around from starts group by all
+), placed_best as (
+    select b.*, row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank
+    from best b left join inner_phrases p on p.lang = b.lang and p.phrase = b.phrase
+    where p.around is null or 100 * p.around < 100 * b.a
+)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from placed_best where rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+@query("op13_resample")
+def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
