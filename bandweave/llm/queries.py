@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import ann, bpe, collocations, jaccard, langid, packing, quality, resample, sentences, suffixes, topk, url_rules
+from bandweave.llm import ann, bpe, collocations, jaccard, langid, packing, quality, resample, scoring, sentences, suffixes, topk, url_rules
 from bandweave.llm.blocks import finite
 from bandweave.session import ship_package
 
@@ -197,3 +197,9 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
 def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
     drawn = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_lm_score")
+def op12_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return scoring.score(table(spark, folder, "documents"), held, public_tokenizers.path("byte_bpe_50k.tiktoken"))
