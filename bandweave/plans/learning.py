@@ -8,6 +8,7 @@ from bandweave import TARGET_MAXIMA, TARGETS
 from bandweave.functions.normal import INVERSE_A, INVERSE_B, INVERSE_C, INVERSE_D, INVERSE_TAIL
 from bandweave.operators import augment as au
 from bandweave.operators import folds as fo
+from bandweave.operators import forest as ft
 from bandweave.operators import models as mo
 from bandweave.operators import neighbors as nb
 from bandweave.operators import pixels as px
@@ -315,6 +316,15 @@ def m11(t):
     return mo.predict(models, rows.where("fold = 0")).select("sample_index", *[f"{c}_hat" for c in TARGETS])
 
 
+@query("m11c_vector_forest")
+def m11c(t):
+    """One forest whose leaves hold all four targets."""
+    rows = pr.join_targets(v.curves(t), pr.scale_targets(v.targets(t)))
+    folded = materialize(fo.kfold(materialize(rows, "rows"), 5, 2022), "folded")
+    model = ft.fit(folded.where("fold <> 0"), TARGETS, trees=5, depth=5, seed=42, features="curve")
+    return ft.predict(model, folded.where("fold = 0"), "curve").select("sample_index", *[f"{c}_hat" for c in TARGETS])
+
+
 @query("m12_boosted")
 def m12(t):
     rows = scored_curves(t)
