@@ -7,11 +7,14 @@ all others as sorted coordinates. Counts of blocks are summed; frequent pairs ar
 the ids of the next round, whose adjacent ids are phrases of one word more. A phrase can only be frequent if both of its
 parts are, so nothing is lost.
 
-Tables of words and phrases are joined, never sent to all tasks by this code; a block asks for its own entries only.
+The names of words and pairs come back to the blocks in one of two ways with the same result: a table of at most WORD_TABLE
+words or PAIR_TABLE pairs, as counted, is sent to the tasks; a larger one is joined, each block asking for its own entries only.
 """
 
 from __future__ import annotations
 
+from itertools import filterfalse
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,6 +26,7 @@ from bandweave.session import materialize
 BLOCK = 1 << 19  # words of the blocks of a task, all groups together; a longer text makes a longer block
 SIDE = 256  # ids along a tile
 DENSE = 1 / 16  # pairs for each cell from which a tile counts as dense
+WORD_TABLE, PAIR_TABLE = 1 << 18, 1 << 21  # entries of the largest tables that are sent to tasks: about 16 and 24 MB
 UNKNOWN = "und"
 
 _GAP, _NONE = -2, -1
@@ -44,7 +48,7 @@ class Block:
 
     def add(self, text: str) -> int:
         words = cut(text)
-        self.codes.update((w, i) for i, w in enumerate(set(words) - self.codes.keys(), len(self.codes) - 2))
+        self.codes.update((w, i) for i, w in enumerate(set(filterfalse(self.codes.__contains__, words)), len(self.codes) - 2))
         ids = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
         self.parts += [ids[ids != _GAP], np.array([_NONE], np.int32)]
         return len(words)
@@ -127,7 +131,15 @@ def _counted(sequences: DataFrame) -> DataFrame:
     return sequences.select("block", "ids").mapInArrow(run, "block long, pair long, n long")
 
 
-def _renamed(sequences: DataFrame, answers: DataFrame, pairs: bool) -> DataFrame:
+def _named(was: np.ndarray, key: np.ndarray, name: np.ndarray) -> bytes:
+    """A sequence in which each number is the name of the equal key, keys being sorted, or a gap."""
+    if not len(key):
+        return b""
+    at = np.minimum(np.searchsorted(key, was), len(key) - 1)
+    return squeeze(np.where((key[at] == was) & (was >= 0), name[at], _NONE).astype("<i4")).tobytes()
+
+
+def _joined(sequences: DataFrame, answers: DataFrame, pairs: bool) -> DataFrame:
     """block, ids: each code (or pair of adjacent ids) as the id that `answers` (block, key, id) gives it, or a gap."""
     wanted = answers.groupBy("block").agg(F.collect_list("key").alias("keys"), F.collect_list("id").alias("ids"))
 
@@ -138,23 +150,59 @@ def _renamed(sequences: DataFrame, answers: DataFrame, pairs: bool) -> DataFrame
             for i in range(len(blocks_)):
                 key, name = (c[i].values.to_numpy(zero_copy_only=False) for c in (keys, ids))
                 order = np.argsort(key)
-                key, name = key[order], name[order]
                 was = np.frombuffer(old[i].as_buffer(), "<i4")
-                was = pairs_of(was) if pairs else was
-                at = np.minimum(np.searchsorted(key, was), len(key) - 1)
-                out.append(squeeze(np.where((key[at] == was) & (was >= 0), name[at], _NONE).astype("<i4")).tobytes())
+                out.append(_named(pairs_of(was) if pairs else was, key[order], name[order]))
             yield pa.RecordBatch.from_arrays([blocks_, pa.array(out, pa.binary())], names=["block", "ids"])
 
     return sequences.select("block", F.col("ids").alias("old")).join(wanted, "block").select("block", "old", "keys", "ids").mapInArrow(run, "block long, ids binary")
 
 
+def _word_ids(cut_up: DataFrame, entries: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """block, ids of the frequent words."""
+    if words.count() > most:
+        asked = entries.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "key", "id")
+        return _joined(cut_up.select("block", F.col("codes").alias("ids")), asked, pairs=False)
+    table: dict[str, dict[bytes, int]] = {}
+    for lang, word, name in zip(*(c.to_pylist() for c in words.select("lang", "word", "id").toArrow().columns), strict=True):
+        table.setdefault(lang, {})[word] = name
+    sent = words.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lang, codes, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                known = sent.value.get(lang, {})
+                name = np.fromiter((known.get(w, _NONE) for w in own), np.int64, len(own))
+                out.append(_named(np.frombuffer(codes, "<i4"), np.arange(len(own)), name))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "ids"])
+
+    return cut_up.select("block", "lang", "codes", "words").mapInArrow(run, "block long, ids binary")
+
+
+def _pair_ids(sequences: DataFrame, made: DataFrame, most: int) -> DataFrame:
+    """block, ids of the frequent pairs."""
+    if made.count() > most:
+        asked = _counted(sequences).join(made.select("pair", "id"), "pair").select("block", F.col("pair").alias("key"), "id")
+        return _joined(sequences, asked, pairs=True)
+    key, name = (c.to_numpy() for c in made.select("pair", "id").toArrow().columns)
+    order = np.argsort(key)
+    sent = made.sparkSession.sparkContext.broadcast((key[order], name[order].astype(np.int32)))
+
+    def run(batches):
+        for batch in batches:
+            out = [_named(pairs_of(np.frombuffer(x, "<i4")), *sent.value) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "ids"])
+
+    return sequences.select("block", "ids").mapInArrow(run, "block long, ids binary")
+
+
 def _numbered(found: DataFrame, ties: list[str], label: str) -> DataFrame:
     """`id` by falling frequency from 0; ids must fit 31 bits, as two of them make one key."""
     named = ranked(found, [F.col("f").desc(), *(F.col(c) for c in ties)], "id", label)
     return named.withColumn("id", F.when(F.col("id") <= 1 << 31, F.col("id") - 1).otherwise(F.raise_error(F.lit("more than 2^31 frequent phrases of one length"))))
 
 
-def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str = "text", group_col: str = "lang", block_words: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str = "text", group_col: str = "lang", block_words: int = BLOCK, tables: tuple[int, int] = (WORD_TABLE, PAIR_TABLE)) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of 1 to `longest` words that occur `least` times, and (lang, n): all words.
 
     The words of a phrase stand side by side in one piece; overlapping occurrences count.
@@ -165,12 +213,10 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str =
     totals = cut_up.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     words = _numbered(counts.where(F.col("f") >= least), ["lang", "word"], "phrase-words")
     words = materialize(words.select("id", "lang", "word", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f"), "phrase-words")
-    asked = entries.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "key", "id")
-    sequences = materialize(_renamed(cut_up.select("block", F.col("codes").alias("ids")), asked, pairs=False), "phrase-ids")
+    sequences = materialize(_word_ids(cut_up, entries, words, tables[0]), "phrase-ids")
     levels = [words.select("id", "lang", "phrase", "last", "f")]
     for size in range(2, longest + 1):
-        pairs = materialize(_counted(sequences), "phrase-pairs")
-        sums = pairs.groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        sums = _counted(sequences).groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         named = _numbered(sums, ["pair"], "phrase-ranks")
         left = levels[-1].select(F.col("id").alias("x"), "lang", F.col("phrase").alias("head"))
         right = levels[-1].select(F.col("id").alias("y"), "last")
@@ -179,8 +225,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str =
         made = materialize(made, "phrase-level")
         levels.append(made.drop("pair"))
         if size < longest:
-            asked = pairs.join(made.select("pair", "id"), "pair").select("block", F.col("pair").alias("key"), "id")
-            sequences = materialize(_renamed(sequences, asked, pairs=True), "phrase-ids")
+            sequences = materialize(_pair_ids(sequences, made, tables[1]), "phrase-ids")
     found = None
     for size, level in enumerate(levels, 1):
         rows = level.select("lang", "phrase", F.lit(size).alias("words"), "f")
@@ -188,7 +233,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str =
     return found, totals
 
 
-def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, text_col: str = "text", group_col: str = "lang", block_words: int = BLOCK) -> DataFrame:
+def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, text_col: str = "text", group_col: str = "lang", block_words: int = BLOCK, tables: tuple[int, int] = (WORD_TABLE, PAIR_TABLE)) -> DataFrame:
     """lang, rank (from 1), phrase, a, l, r, n, score: the `top` collocations of each language.
 
     A-Z are lower-cased, pieces end at `[.,;:!?\\x0A-\\x0D]`, words are `[^\\x20\\x09]+`. A candidate is a phrase of 2 to `longest`
@@ -198,7 +243,7 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, t
     A null text is empty, a null language is `und`. Repeated rows count each; ids and other columns are not read. An empty table,
     or one without frequent phrases, gives no rows. Products are decimals of 38 digits, which hold counts up to 10^17.
     """
-    found, totals = phrases(docs, least, longest, text_col, group_col, block_words)
+    found, totals = phrases(docs, least, longest, text_col, group_col, block_words, tables)
     known = found.select("lang", "phrase", "f")
     candidates = found.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
     parts = F.split("phrase", " ", -1)

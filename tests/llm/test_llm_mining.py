@@ -64,10 +64,10 @@ def plain_collocations(rows, least, longest, top):
     return ranked_rows
 
 
-@pytest.mark.parametrize(("least", "top", "words"), [(8, 40, 1 << 19), (3, 2000, 300)])
-def test_collocations_equal_brute_force(spark, corpus, least, top, words):
+@pytest.mark.parametrize(("least", "top", "words", "tables"), [(8, 40, 1 << 19, (1 << 18, 1 << 21)), (3, 2000, 300, (0, 0)), (3, 2000, 300, (1 << 18, 0))])
+def test_collocations_equal_brute_force(spark, corpus, least, top, words, tables):
     want = plain_collocations(corpus, least, 5, top)
-    got = collocations.mine(frame(spark, corpus), least=least, top=top, block_words=words)
+    got = collocations.mine(frame(spark, corpus), least=least, top=top, block_words=words, tables=tables)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert len(want) > 30
