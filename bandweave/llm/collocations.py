@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from bandweave.llm.ordered import ranked
 from bandweave.session import materialize
 
-BLOCK = 1 << 19  # words of the blocks of a task, all groups together; a longer text makes a longer block
+BLOCK = 1 << 18  # words of the blocks of a task, all groups together; a longer text makes a longer block
+SLICE = 256  # texts of a batch that a task holds as strings at once
 SIDE = 256  # ids along a tile
 DENSE = 1 / 16  # pairs for each cell from which a tile counts as dense
 WORD_TABLE, PAIR_TABLE = 1 << 18, 1 << 21  # entries of the largest tables that are sent to tasks: about 16 and 24 MB
@@ -80,11 +81,12 @@ def blocks(docs: DataFrame, text_col: str, group_col: str, size: int) -> DataFra
             return pa.RecordBatch.from_arrays(made, names=["block", "lang", "codes", "words", "counts"])
 
         for batch in batches:
-            for row, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held += open_blocks.setdefault(lang, Block(row)).add(text)
-                if held >= size:
-                    held = 0
-                    yield flush()
+            for at in range(0, batch.num_rows, SLICE):
+                for row, lang, text in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True):
+                    held += open_blocks.setdefault(lang, Block(row)).add(text)
+                    if held >= size:
+                        held = 0
+                        yield flush()
         if open_blocks:
             yield flush()
 
@@ -124,9 +126,9 @@ def _counted(sequences: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, counts = tiled_counts(pairs_of(np.frombuffer(raw, "<i4")))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(counts.astype(np.int64))], names=["block", "pair", "n"])
+            for block, raw in zip(*batch.columns, strict=True):
+                keys, counts = tiled_counts(pairs_of(np.frombuffer(raw.as_buffer(), "<i4")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block.as_py())), pa.array(keys), pa.array(counts.astype(np.int64))], names=["block", "pair", "n"])
 
     return sequences.select("block", "ids").mapInArrow(run, "block long, pair long, n long")
 
@@ -169,12 +171,12 @@ def _word_ids(cut_up: DataFrame, entries: DataFrame, words: DataFrame, most: int
 
     def run(batches):
         for batch in batches:
-            out = []
-            for lang, codes, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for i in range(batch.num_rows):  # a block at a time, as its words become Python strings
+                block, lang, codes, own = (c[i].as_py() for c in batch.columns)
                 known = sent.value.get(lang, {})
                 name = np.fromiter((known.get(w, _NONE) for w in own), np.int64, len(own))
-                out.append(_named(np.frombuffer(codes, "<i4"), np.arange(len(own)), name))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "ids"])
+                ids = _named(np.frombuffer(codes, "<i4"), np.arange(len(own)), name)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.binary())], names=["block", "ids"])
 
     return cut_up.select("block", "lang", "codes", "words").mapInArrow(run, "block long, ids binary")
 
@@ -190,8 +192,9 @@ def _pair_ids(sequences: DataFrame, made: DataFrame, most: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [_named(pairs_of(np.frombuffer(x, "<i4")), *sent.value) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "ids"])
+            for block, old in zip(*batch.columns, strict=True):
+                ids = _named(pairs_of(np.frombuffer(old.as_buffer(), "<i4")), *sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([ids], pa.binary())], names=["block", "ids"])
 
     return sequences.select("block", "ids").mapInArrow(run, "block long, ids binary")
 
