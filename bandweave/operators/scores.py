@@ -138,6 +138,11 @@ def early_stop(log: DataFrame, patience: int, by=("run",), step: str = "epoch",
 
 
 # Gradient and hessian by loss name, for a prediction `p` of a truth `y`.
+def _squared(y: Column, p: Column, w: Column, legacy: bool):
+    d = y - p
+    return (w * d if legacy else -w * d), w
+
+
 def _weighted(y: Column, p: Column, w: Column, legacy: bool):
     d = y - p
     return (F.lit(2.0) * w * d if legacy else F.lit(-2.0) * w * d), F.lit(2.0) * w
@@ -155,7 +160,7 @@ def _asymmetric(y: Column, p: Column, w: Column, legacy: bool):
     return F.lit(-2.0) * steep * d, F.lit(2.0) * steep
 
 
-LOSSES = {"weighted": _weighted, "cubic": _cubic, "asymmetric": _asymmetric}
+LOSSES = {"squared": _squared, "weighted": _weighted, "cubic": _cubic, "asymmetric": _asymmetric}
 
 
 def loss_report(ev: DataFrame, names, by=(), col: str = "P", weight: Column | None = None, legacy_sign: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bandweave import TARGET_MAXIMA, TARGETS
 from bandweave.functions.normal import INVERSE_A, INVERSE_B, INVERSE_C, INVERSE_D, INVERSE_TAIL
 from bandweave.operators import augment as au
+from bandweave.operators import boosting as bo
 from bandweave.operators import folds as fo
 from bandweave.operators import forest as ft
 from bandweave.operators import models as mo
@@ -332,6 +333,59 @@ def m12(t):
     return mo.predict(models, rows.where("fold = 0")).select("sample_index", *[f"{c}_hat" for c in TARGETS])
 
 
+STEPPED = "greatest(-20.0::DOUBLE, least(20.0::DOUBLE, floor(e * 20)))"
+LOSS_NAMES = ("squared", "weighted", "cubic", "asymmetric")
+
+
+def boosted_round(r: int) -> dict[str, str]:
+    """One round of one split for each loss and target, from the predictions of state<r>."""
+    steep = "CASE WHEN d < 0 THEN 50.0::DOUBLE ELSE 1.0::DOUBLE END"
+    keys = "PARTITION BY loss, target, feature"
+    return {
+        f"pull{r}": f"""SELECT sample_index, loss, target,
+            CASE loss WHEN 'squared' THEN -d WHEN 'weighted' THEN -2 * d WHEN 'cubic' THEN -4 * d * d * d ELSE -2 * {steep} * d END AS g,
+            CASE loss WHEN 'squared' THEN 1.0::DOUBLE WHEN 'weighted' THEN 2.0::DOUBLE WHEN 'cubic' THEN 12 * d * d ELSE 2 * {steep} END AS h
+            FROM (SELECT *, v - p AS d FROM state{r})""",
+        f"hist{r}": f"SELECT loss, target, feature, x, sum(g) AS g, sum(h) AS h FROM stepped JOIN pull{r} USING (sample_index) GROUP BY ALL",
+        f"sides{r}": f"""SELECT loss, target, feature, x, sum(g) OVER ({keys} ORDER BY x) AS gl, sum(h) OVER ({keys} ORDER BY x) AS hl,
+            sum(g) OVER ({keys}) AS ga, sum(h) OVER ({keys}) AS ha, x < max(x) OVER ({keys}) AS inner_cut FROM hist{r}""",
+        f"gains{r}": f"""SELECT *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) AS gain FROM sides{r}
+            WHERE inner_cut AND hl >= 1 AND ha - hl >= 1""",
+        # Without a gain the tree is one leaf.
+        f"best{r}": f"""SELECT loss, target, feature, x AS cut, CASE WHEN gain > 0 THEN gl / (hl + 1) ELSE ga / (ha + 1) END AS low,
+            CASE WHEN gain > 0 THEN (ga - gl) / (ha - hl + 1) ELSE ga / (ha + 1) END AS high FROM gains{r}
+            QUALIFY row_number() OVER (PARTITION BY loss, target ORDER BY gain DESC, feature, x) = 1""",
+        f"state{r + 1}": f"""SELECT s.sample_index, s.loss, s.target, s.v, s.p - 0.3::DOUBLE * CASE WHEN m.x <= b.cut THEN b.low ELSE b.high END AS p
+            FROM state{r} s JOIN best{r} b USING (loss, target) JOIN stepped m ON m.sample_index = s.sample_index AND m.feature = b.feature""",
+    }
+
+
+@query(
+    "m12c_boosted_losses",
+    oracle(
+        "curves targets",
+        "SELECT loss, sample_index, " + ", ".join(f"round(max(p) FILTER (target = '{c}'), 6) AS {c}_hat" for c in TARGETS) + " FROM state2 GROUP BY loss, sample_index",
+        stepped=f"SELECT sample_index, unnest(list_transform(curve, lambda e: {STEPPED})) AS x, generate_subscripts(curve, 1) AS feature FROM curves JOIN targets USING (sample_index)",
+        state0="SELECT * FROM ("
+        + " UNION ALL ".join(f"SELECT sample_index, '{c}' AS target, {c} / {TARGET_MAXIMA[c]}::DOUBLE AS v, 0.5::DOUBLE AS p FROM targets JOIN (SELECT sample_index FROM curves) USING (sample_index)" for c in TARGETS)
+        + f") JOIN (SELECT unnest({list(LOSS_NAMES)}) AS loss) ON true",
+        **boosted_round(0),
+        **boosted_round(1),
+    ),
+)
+def m12c(t):
+    """Two rounds of one split with each loss, on curves in steps of 0.05, so that every value is a cut."""
+    rows = pr.join_targets(v.curves(t), pr.scale_targets(v.targets(t)))
+    steps = F.transform("curve", lambda e: F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.floor(e * 20).cast("double"))))
+    rows = materialize(rows.withColumn("steps", steps), "rows")
+    out = None
+    for loss in LOSS_NAMES:
+        model = bo.fit(rows, TARGETS, loss, rounds=2, depth=1, base=0.5, features="steps")
+        part = bo.predict(model, rows, "steps").select(F.lit(loss).alias("loss"), "sample_index", *[f"{c}_hat" for c in TARGETS])
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 6, *[f"{c}_hat" for c in TARGETS])
+
+
 @query("m13_hybrid")
 def m13(t):
     """Nearest neighbours for small fields, a forest for large ones; size is that of the order's field."""
