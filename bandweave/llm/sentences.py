@@ -45,12 +45,17 @@ def _key(text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(text), 33)
 
 
+def _more(name: Column, text: Column) -> Column:
+    """64 further bits for rows without an id, which may be many; null for all others."""
+    return F.when(name.isNull(), F.xxhash64(F.lit(1), text))
+
+
 def spans(docs: DataFrame, id_col: str, text_col: str, least: int, words: int) -> DataFrame:
-    """One row for each run: its 128-bit hash (a, b), the document, the position (key of the text and first sentence), its sentences."""
+    """One row for each run: its 128-bit hash (a, b), the document (doc, more), the position (key of the text and first sentence), its sentences."""
 
     def run(batches):
         for batch in batches:
-            texts, keys = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            texts, keys = batch.column(3).to_pylist(), batch.column(2).to_pylist()
             for at in range(0, len(texts), 500):
                 rows, digests, places, counts = [], [], [], []
                 for i in range(at, min(at + 500, len(texts))):
@@ -60,21 +65,23 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least: int, words: int) -
                         places.append(keys[i] << 32 | first)
                         counts.append(n)
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64()), pa.array(counts, pa.int32())], names=["a", "b", "doc", "place", "n"])
+                doc, more = (batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), doc, more, pa.array(places, pa.int64()), pa.array(counts, pa.int32())], names=["a", "b", "doc", "more", "place", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc"), _key(text).alias("key"), text.alias("text")).mapInArrow(run, f"a long, b long, doc {kind}, place long, n int")
+    name = F.col(id_col)
+    return docs.select(name.alias("doc"), _more(name, text).alias("more"), _key(text).alias("key"), text.alias("text")).mapInArrow(run, f"a long, b long, doc {kind}, more long, place long, n int")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, words: int = WORDS) -> DataFrame:
-    """doc, key, runs: of each document the runs (first sentence, number) that are not the first of their kind."""
+    """doc, more, key, runs: of each document the runs (first sentence, number) that are not the first of their kind."""
     found = spans(docs, id_col, text_col, least, words)
-    place = F.struct("doc", "place")
+    place = F.struct("doc", "more", "place")
     firsts = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     later = found.join(firsts, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
     run = F.struct(F.expr("cast(place & 4294967295 as int)").alias("at"), "n")
-    return later.groupBy("doc", F.shiftright("place", 32).alias("key")).agg(F.collect_list(run).alias("runs"))
+    return later.groupBy("doc", "more", F.shiftright("place", 32).alias("key")).agg(F.collect_list(run).alias("runs"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, words: int = WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -82,13 +89,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     A null text stays null and counts as no sentences; a text whose sentences all go becomes empty. Documents with fewer
     sentences or words than a run needs stay as they are. Rows that share id and text are one document and are treated
-    alike; rows that share only the id are told apart by their text. An empty table gives an empty table.
+    alike; rows that share only the id are told apart by 31 bits of their
+    text's hash, rows without an id by 95 bits. An empty table gives an empty table.
     """
     marks = repeated(docs, id_col, text_col, least, words)
     columns = docs.columns
     text = F.col(text_col).cast("string")
-    left = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)), F.col(id_col).alias("_doc"), _key(text).alias("_key"), text.alias("_text"))
-    joined = left.join(marks, left["_doc"].eqNullSafe(marks["doc"]) & (left["_key"] == marks["key"]), "left").select(*(f"_{i}" for i in range(len(columns))), "_text", "runs")
+    left = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)), F.col(id_col).alias("_doc"), _more(F.col(id_col), text).alias("_more"), _key(text).alias("_key"), text.alias("_text"))
+    same = left["_doc"].eqNullSafe(marks["doc"]) & left["_more"].eqNullSafe(marks["more"]) & (left["_key"] == marks["key"])
+    joined = left.join(marks, same, "left").select(*(f"_{i}" for i in range(len(columns))), "_text", "runs")
 
     def cut(batches):
         for batch in batches:
