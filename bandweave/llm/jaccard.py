@@ -167,13 +167,21 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, key, text: the key tells rows apart that share an id or have none."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
 def _nodes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """doc, key, n, node of each row."""
+
     def run(batches):
         for batch in batches:
-            found = sets(batch.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([node_of(x) for x in found], pa.int64())], names=["doc", "n", "node"])
+            found = sets(batch.column(2).to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in found], pa.int64()), pa.array([node_of(x) for x in found], pa.int64())], names=["doc", "key", "n", "node"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc long, n long, node long")
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc long, key long, n long, node long")
 
 
 def _signed(docs: DataFrame, text_col: str, n: int, percent: int, parts: int) -> DataFrame:
@@ -274,11 +282,11 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, parts: int = 3, id_c
     first = materialize(first, "jaccard-pairs")
     wanted = shared.select("node").distinct()
     led = wanted.join(first.select("a", F.col("b").alias("node")), "node", "left")
-    named = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc", F.lit(-1)).alias("d"), "doc")).alias("s")).select("node", F.col("s.doc").alias("_doc")).join(led, "node")
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    texts = source.join(named, source["doc"].eqNullSafe(F.col("_doc"))).select("node", "a", "text")
+    named = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc", F.lit(-1)).alias("d"), "doc", "key")).alias("s")).select("node", F.col("s.doc").alias("_doc"), F.col("s.key").alias("_key")).join(led, "node")
+    source = _source(docs, id_col, text_col)
+    texts = source.join(named, source["doc"].eqNullSafe(F.col("_doc")) & (source["key"] == F.col("_key"))).select("node", "a", "text")
 
-    def own(batches):  # an id may stand for several texts
+    def own(batches):  # texts of one id and key may differ by chance
         for batch in batches:
             nodes, found = batch.column(0).to_pylist(), sets(batch.column(2).to_pylist(), n)
             kept = [i for i, x in enumerate(found) if node_of(x) == nodes[i]]

@@ -278,6 +278,32 @@ def test_jaccard_join_of_odd_rows(spark, docs):
     assert jaccard.classes(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_many_rows_without_id(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        words = prose(rng, 80).split(" ")
+        rows += [(i if i % 2 else None, " ".join(words)), (None, " ".join([*words, "tail"]))]
+    rows += rows[:2] * 20  # copies without an id
+    rows += [(7, prose(rng, 50))]  # a second text of one id
+    found = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 90).collect()
+    want = collections.Counter([(i if i % 2 else None) for i in range(60) for _ in range(42 if i == 0 else 2)] + [7])
+    assert len(found) == len(rows) and collections.Counter(r.component for r in found) == want
+
+
+def test_sentences_of_rows_without_id_are_told_apart(spark, monkeypatch):
+    """Even if the short keys of all texts were equal."""
+    rng = random.Random(14)
+    monkeypatch.setattr(sentences, "_key", lambda text: F.lit(7).cast("long"))
+    shared = " ".join(" ".join(rng.choice(WORDS) for _ in range(12)) + "." for _ in range(4))
+    texts = [" ".join(" ".join(rng.choice(WORDS) for _ in range(12)) + "." for _ in range(5)) for _ in range(40)]
+    rows = [(None, x if i % 4 else f"{x}\n{shared}") for i, x in enumerate(texts)]
+    out = sentences.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), counts=("total", "gone")).collect()
+    gone = [r for r in out if r.gone]
+    assert len(out) == 40 and len(gone) == 9 and all(r.gone == 4 and r.total == 9 for r in gone)
+    assert {r.text.strip() for r in out} >= {x for i, x in enumerate(texts) if i % 4}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
