@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from bandweave import TARGET_MAXIMA, TARGETS
@@ -10,6 +11,7 @@ from bandweave.operators import augment as au
 from bandweave.operators import boosting as bo
 from bandweave.operators import folds as fo
 from bandweave.operators import forest as ft
+from bandweave.operators import hybrid as hy
 from bandweave.operators import models as mo
 from bandweave.operators import neighbors as nb
 from bandweave.operators import pixels as px
@@ -21,7 +23,7 @@ from bandweave.plans import views as v
 from bandweave.plans.pixels import rounded
 from bandweave.plans.registry import query
 from bandweave.plans.views import oracle, sql_uniform
-from bandweave.session import materialize
+from bandweave.session import materialize, scratch_path
 
 KNOWN = "label < 8"
 NOVEL = "label >= 8"
@@ -395,6 +397,60 @@ def m13(t):
     return mo.hybrid_predict(train, test, limit=2.0, k=25, trees=10, depth=5, seed=42)
 
 
+def hybrid_rows(t):
+    """Curves as both models' features, with scaled targets, edges of the orders' fields and folds."""
+    edges = px.field_size(v.pixel_rows(t)).select("sample_index", "edge")
+    rows = pr.join_targets(v.curves(t), pr.scale_targets(v.targets(t))).join(edges, "sample_index")
+    rows = rows.select("sample_index", "edge", F.lit(False).alias("crop"), F.col("curve").alias("near_features"), F.col("curve").alias("forest_features"), *TARGETS)
+    return materialize(fo.kfold(materialize(rows, "rows"), 5, 2022), "folded")
+
+
+def stored_hybrid(t, rows, name: str, **settings):
+    """The fitted pipeline as it comes back from its folder."""
+    path = scratch_path(t.spark, name)
+    hy.pipeline(limit=2.0, depth=5, seed=42, **settings).fit(rows).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+@query(
+    "m13b_hybrid_neighbors",
+    oracle(
+        "curves targets pixels",
+        "SELECT query AS sample_index, " + ", ".join(f"round(sum({c} / distance) / sum(1 / distance) * {TARGET_MAXIMA[c]}::DOUBLE, 6) AS {c}_hat" for c in TARGETS) + " FROM near GROUP BY query",
+        sizes="SELECT sample_index, (max(x) + 1 + max(y) + 1) / 2.0::DOUBLE AS edge FROM pixels GROUP BY sample_index",
+        f="SELECT c.sample_index, c.curve, edge, "
+        + ", ".join(f"t.{c} / {TARGET_MAXIMA[c]}::DOUBLE AS {c}" for c in TARGETS)
+        + f""", count(*) OVER () AS n, row_number() OVER (ORDER BY {sql_uniform(2022, 'c.sample_index')}, c.sample_index) - 1 AS pos
+            FROM curves c JOIN targets t USING (sample_index) JOIN sizes USING (sample_index)""",
+        rows="""SELECT *, CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1)
+                 ELSE (n % 5) + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM f WHERE true""",
+        small="SELECT * FROM rows WHERE edge <= 2",
+        long="SELECT sample_index, fold, generate_subscripts(curve, 1) AS i, unnest(curve) AS v FROM small",
+        q="SELECT i, quantile_cont(v, 0.5) AS center, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS spread FROM long WHERE fold <> 0 GROUP BY i",
+        scaled="SELECT sample_index, list((v - center) / CASE WHEN spread = 0 THEN 1 ELSE spread END ORDER BY i) AS w FROM long JOIN q USING (i) GROUP BY sample_index",
+        s="SELECT * FROM small JOIN scaled USING (sample_index)",
+        near="SELECT a.sample_index AS query, list_distance(a.w, b.w) AS distance, "
+        + ", ".join(f"b.{c}" for c in TARGETS)
+        + """ FROM s a JOIN s b ON a.fold = 0 AND b.fold <> 0
+            QUALIFY row_number() OVER (PARTITION BY a.sample_index ORDER BY round(list_distance(a.w, b.w), 9), b.sample_index) <= 25""",
+    ),
+)
+def m13b(t):
+    """The small fields' half of the stored pipeline, with one index over all of them."""
+    rows = hybrid_rows(t)
+    model = stored_hybrid(t, rows.where("fold <> 0"), "hybrid", k=25, folds=1, trees=1)
+    hat = model.transform(rows.where("fold = 0")).where("model = 'neighbors'")
+    return rounded(hat.select("sample_index", *[f"{c}_hat" for c in TARGETS]), 6, *[f"{c}_hat" for c in TARGETS])
+
+
+@query("m13c_hybrid_pipeline")
+def m13c(t):
+    """The stored pipeline with an index for each fold and a vector forest, over all fields."""
+    rows = hybrid_rows(t)
+    model = stored_hybrid(t, rows.where("fold <> 0"), "hybrid", k=25, folds=5, trees=5)
+    return model.transform(rows.where("fold = 0")).select("sample_index", "model", *[f"{c}_hat" for c in TARGETS])
+
+
 @query("m21_cross_validate")
 def m21(t):
     rows = scored_curves(t)
