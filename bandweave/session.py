@@ -71,3 +71,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table that `materialize` wrote, once no later job reads it; other tables are left alone."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else ""
+    if f"/{shared_folder(spark).rsplit('/', 1)[-1]}/" not in folder:
+        raise ValueError(f"not a table in the shared folder: {folder or 'no files'}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
