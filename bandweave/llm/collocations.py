@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandweave.llm.ordered import ranked
-from bandweave.session import materialize
+from bandweave.session import materialize, release
 
 BLOCK = 1 << 18  # words of the blocks of a task, all groups together; a longer text makes a longer block
 SLICE = 256  # texts of a batch that a task holds as strings at once
@@ -213,10 +213,11 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str =
     cut_up = materialize(blocks(docs, text_col, group_col, block_words), "phrase-blocks")
     entries = cut_up.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("key", "e")).select("block", "lang", "key", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
     counts = entries.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    totals = cut_up.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
+    totals = materialize(cut_up.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "phrase-totals")
     words = _numbered(counts.where(F.col("f") >= least), ["lang", "word"], "phrase-words")
     words = materialize(words.select("id", "lang", "word", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f"), "phrase-words")
     sequences = materialize(_word_ids(cut_up, entries, words, tables[0]), "phrase-ids")
+    release(cut_up)  # each table goes when the next is written, which later jobs read
     levels = [words.select("id", "lang", "phrase", "last", "f")]
     for size in range(2, longest + 1):
         sums = _counted(sequences).groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
@@ -228,7 +229,9 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str =
         made = materialize(made, "phrase-level")
         levels.append(made.drop("pair"))
         if size < longest:
-            sequences = materialize(_pair_ids(sequences, made, tables[1]), "phrase-ids")
+            shorter, sequences = sequences, materialize(_pair_ids(sequences, made, tables[1]), "phrase-ids")
+            release(shorter)
+    release(sequences)
     found = None
     for size, level in enumerate(levels, 1):
         rows = level.select("lang", "phrase", F.lit(size).alias("words"), "f")
