@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bandweave import TARGET_MAXIMA, TARGETS
 from bandweave.functions.normal import INVERSE_A, INVERSE_B, INVERSE_C, INVERSE_D, INVERSE_TAIL
 from bandweave.operators import augment as au
+from bandweave.operators import balance as ba
 from bandweave.operators import boosting as bo
 from bandweave.operators import folds as fo
 from bandweave.operators import forest as ft
@@ -312,6 +313,34 @@ def m09(t):
     return au.oversample_rare(rows, "Mg", 5, 9, threshold=0.4)
 
 
+@query(
+    "m09b_balanced_rare",
+    oracle(
+        "curves targets",
+        """SELECT r.bump, any_value(r.n) AS n, any_value(budget) AS budget, any_value(budget) AS rows_out,
+             round(sum(Mg) FILTER (pos < budget), 4) AS kept_sum FROM placed r JOIN plan USING (bump) GROUP BY r.bump""",
+        f="SELECT sample_index, Mg FROM curves JOIN targets USING (sample_index)",
+        q="SELECT quantile_cont(Mg, 0.25) AS q1, quantile_cont(Mg, 0.5) AS q2, quantile_cont(Mg, 0.75) AS q3 FROM f",
+        scored="SELECT f.*, q2, greatest((Mg - q2) / (q3 + 1.5 * (q3 - q1) - q2), (q2 - Mg) / (q2 - (q1 - 1.5 * (q3 - q1)))) AS rel FROM f, q",
+        bumped="SELECT *, CASE WHEN rel < 0.4 THEN 0 WHEN Mg < q2 THEN -1 ELSE 1 END AS bump FROM scored",
+        placed=f"""SELECT *, count(*) OVER (PARTITION BY bump) AS n,
+             row_number() OVER (PARTITION BY bump ORDER BY {sql_uniform(9, 'sample_index')}, sample_index) - 1 AS pos FROM bumped""",
+        sizes="SELECT bump, count(*) AS n FROM bumped GROUP BY bump",
+        quota="SELECT *, round(sum(n) OVER () * (1.0::DOUBLE / n) / sum(1.0::DOUBLE / n) OVER (), 9) AS share, sum(n) OVER () AS total FROM sizes",
+        plan="""SELECT bump, (floor(share) + CASE WHEN row_number() OVER (ORDER BY floor(share) - share, bump) <= total - sum(floor(share)) OVER ()
+             THEN 1 ELSE 0 END)::BIGINT AS budget FROM quota""",
+    ),
+)
+def m09b(t):
+    """Sizes and kept originals of each value range after balancing in inverse ratio to the ranges' sizes."""
+    rows = materialize(v.curves(t).join(v.targets(t).select("sample_index", "Mg"), "sample_index"), "rows")
+    out = materialize(ba.resample(rows, "Mg", 5, 9, "extreme", threshold=0.4), "balanced")
+    plan = ba.budgets(ba.bumps(rows, "Mg", 0.4).groupBy("bump").agg(F.count(F.lit(1)).alias("n")), "extreme")
+    kept = F.round(F.sum(F.when(~F.col("synthetic"), F.col("Mg"))), 4)
+    sums = out.groupBy("bump").agg(F.count(F.lit(1)).alias("rows_out"), kept.alias("kept_sum"))
+    return plan.join(sums, "bump")
+
+
 @query("m11_forest")
 def m11(t):
     rows = scored_curves(t)
