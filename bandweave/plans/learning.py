@@ -218,6 +218,34 @@ def m16(t):
     return rounded(out.select("sample_index", "feature", "t"), 7, "t")
 
 
+def finer_lambda(transform: str, slope: str, rounds: int) -> dict[str, str]:
+    """CTEs peak0 ... peak<rounds>: each feature's best lambda on the grid, then on five times finer ones around it."""
+    ctes = {}
+    for r in range(rounds + 1):
+        step = 0.1 / 5**r
+        source = f"""SELECT feature, v, unnest(list_transform(range(-5, 6), lambda j: about + {step!r}::DOUBLE * j)) AS l FROM long JOIN peak{r - 1} USING (feature)"""
+        if not r:
+            source = "SELECT feature, v, unnest(list_transform(range(41), lambda i: round(-2.0::DOUBLE + 0.1::DOUBLE * i, 1))) AS l FROM long"
+        likely = f"SELECT feature, l, -0.5 * count(*) * ln(var_pop({transform})) + (l - 1) * sum({slope}) AS loglik FROM ({source}) GROUP BY feature, l"
+        ctes[f"peak{r}"] = f"SELECT feature, max_by(l, loglik) AS about FROM ({likely}) GROUP BY feature"
+    return ctes
+
+
+@query(
+    "m16b_finer_lambda",
+    oracle(
+        "curve_long",
+        "SELECT feature, round(about, 4) AS lam FROM peak5",
+        long="SELECT band AS feature, v FROM curve_long",
+        **finer_lambda(YJ, "sign(v) * ln(1 + abs(v))", 5),
+    ),
+)
+def m16b(t):
+    """Each band's lambda to 1e-4."""
+    fitted = Scaler("yeo_johnson", precision=1e-4).fit(long_features(v.curves(t))).table
+    return fitted.select("feature", F.round("lam", 4).alias("lam"))
+
+
 def label_rows(t):
     """Scaled targets as (sample_index, feature, v), feature = place of the target."""
     scaled = pr.scale_targets(materialize(v.targets(t), "targets"))
