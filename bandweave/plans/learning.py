@@ -18,6 +18,7 @@ from bandweave.operators import neighbors as nb
 from bandweave.operators import pixels as px
 from bandweave.operators import projections as pr
 from bandweave.operators import reports as rp
+from bandweave.operators import trials as tr
 from bandweave.operators.ranks import shuffled_rank
 from bandweave.operators.scaling import Scaler, long_features
 from bandweave.plans import views as v
@@ -552,6 +553,34 @@ def m21b(t):
     return rounded(mo.cross_validate(rows, fit_predict), 7, "score")
 
 
+@query("m22b_resumed_search")
+def m22b(t):
+    """Scaler, neighbours and weights drawn for each of three trials; the table is left after one and taken up again."""
+    rows = fo.kfold(materialize(pr.join_targets(v.curves(t), pr.scale_targets(v.targets(t))), "rows"), 5, 2022)
+    space = {"scaler": ["none", "robust", "minmax"], "k": [10, 25, 60], "weights": ["distance", "uniform"]}
+
+    def objective(params):
+        def fit_predict(train, test):
+            if params["scaler"] != "none":
+                scaler = Scaler(params["scaler"]).fit(long_features(train))
+                train, test = (scaled_arrays(scaler, x) for x in (train, test))
+            hat = nb.knn_regress(train, test, int(params["k"]), params["weights"])
+            return test.join(hat.select("sample_index", *[F.col(c).alias(f"{c}_hat") for c in TARGETS]), "sample_index")
+
+        return mo.cross_validate(rows, fit_predict)
+
+    path, drawn = scratch_path(t.spark, "trials"), tr.draw(t.spark, space, 3, 6)
+    tr.run(t.spark, drawn, objective, path, most=1)
+    return tr.run(t.spark, drawn, objective, path)
+
+
+def scaled_arrays(scaler, rows):
+    """The rows with their curves scaled feature by feature."""
+    moved = scaler.transform(long_features(rows))
+    curve = F.transform(F.array_sort(F.collect_list(F.struct("feature", "t"))), lambda e: e["t"])
+    return rows.drop("curve").join(moved.groupBy("sample_index").agg(curve.alias("curve")), "sample_index")
+
+
 @query("m22_search")
 def m22(t):
     rows = scored_curves(t)
