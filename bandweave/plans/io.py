@@ -149,13 +149,17 @@ def s09(t):
 LIMIT = 1.0
 
 
+def arriving(t, name: str):
+    """A given table as a stream, be it one file or a folder of files; the pattern keeps Spark from taking a file for a base folder."""
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parque[t]")
+
+
 @query("st1_novelty_stream", oracle("curves", f"SELECT sample_index, round(lof, 7) AS lof FROM factor WHERE lof > {LIMIT}", **LOF))
 def st1(t):
     rows = v.curves(t)
-    raw = t.spark.readStream.schema(t.embeddings.schema).option("pathGlobFilter", "embeddings.parquet").parquet(t.folder)
-    arriving = raw.where(NOVEL).select(F.col("vec_id").alias("sample_index"), F.col("embedding").cast("array<double>").alias("curve"))
+    new = arriving(t, "embeddings").where(NOVEL).select(F.col("vec_id").alias("sample_index"), F.col("embedding").cast("array<double>").alias("curve"))
     sink, mark = scratch_path(t.spark, "novel"), scratch_path(t.spark, "novel-checkpoint")
-    jobs.novelty_stream(arriving, rows.where(KNOWN), sink, mark, limit=LIMIT).awaitTermination()
+    jobs.novelty_stream(new, rows.where(KNOWN), sink, mark, limit=LIMIT).awaitTermination()
     kept = t.spark.read.schema("sample_index bigint, lof double, novel boolean").parquet(sink)
     return rounded(kept.select("sample_index", "lof"), 7, "lof")
 
@@ -167,8 +171,7 @@ def st1(t):
        WHERE start + INTERVAL '6 hours' <= latest - INTERVAL '1 day' GROUP BY start, event_type""",
 )
 def st2(t):
-    raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    events = raw.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.length("props").cast("bigint").alias("n"))
+    events = arriving(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.length("props").cast("bigint").alias("n"))
     sink, mark = scratch_path(t.spark, "metrics"), scratch_path(t.spark, "metrics-checkpoint")
     jobs.metric_stream(events, "6 hours", "1 day", sink, mark, ["event_type"]).awaitTermination()
     schema = "start timestamp, event_type string, average double, count bigint"
