@@ -17,6 +17,7 @@ from bandweave.session import materialize
 
 TERMS = 28
 REACH = 8
+MOST_CELLS = 16_384  # cells whose moments are sent to every task; the points, which file sizes make look small, never are
 
 
 def _cell(v: Column) -> Column:
@@ -31,15 +32,17 @@ def density_at(df: DataFrame, column: str, points: DataFrame, at: str, bandwidth
     moments = placed.groupBy("_cell").agg(
         *[F.sum(weight * F.pow("_d", F.lit(float(m)))).alias(f"_m{m}") for m in range(TERMS)]
     )
+    moments = materialize(moments, "moments")
+    few = moments.limit(MOST_CELLS + 1).count() <= MOST_CELLS
     where = points.withColumn("_y", F.col(at) / F.lit(float(bandwidth)))
     spots = where.select(at, "_y").distinct()
     near = spots.withColumn("_cell", F.explode(F.sequence(_cell(F.col("_y")) - REACH, _cell(F.col("_y")) + REACH)))
-    met = near.join(moments, "_cell").withColumn("_t", F.col("_y") - F.col("_cell") - F.lit(0.5))
+    met = near.join(F.broadcast(moments) if few else moments.hint("merge"), "_cell").withColumn("_t", F.col("_y") - F.col("_cell") - F.lit(0.5))
     series: Column = F.col(f"_m{TERMS - 1}")
     for m in range(TERMS - 2, -1, -1):
         series = F.col(f"_m{m}") + F.col("_t") / F.lit(float(m + 1)) * series
     kernel = F.exp(F.lit(-0.5) * F.col("_t") * F.col("_t")) * series
-    sums = met.groupBy(at).agg(F.sum(kernel).alias("_k"))
+    sums = materialize(met.groupBy(at).agg(F.sum(kernel).alias("_k")), "densities")  # as written, its size is known
     n = df.agg(F.count(column)).scalar()
     height = F.coalesce("_k", F.lit(0.0)) / (n * F.lit(bandwidth * math.sqrt(2.0 * math.pi)))
     return points.join(sums, at, "left").withColumn("density", height).drop("_k")

@@ -25,6 +25,13 @@ def test_group_rank_matches_sorted_order(spark):
         assert {r["n"] for r in mine} == {len(want)}
 
 
+def test_ranked_rows_are_never_broadcast(spark, tmp_path):
+    """Files make a table look small that is large in memory; only the sizes of the buckets may be sent."""
+    spark.range(1000).select("id", (F.col("id") % 7).alias("k")).write.parquet(str(tmp_path / "rows"))
+    ranked = ranks.value_rank(spark.read.parquet(str(tmp_path / "rows")), "k", ties=["id"], rows_per_bucket=100)
+    assert "BroadcastHashJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shuffled_rank_is_a_permutation_and_repeatable(spark):
     df = spark.range(1000).withColumnRenamed("id", "key")
     once = {r["key"]: r["rank"] for r in ranks.shuffled_rank(df, "key", 3).collect()}
@@ -59,6 +66,13 @@ def test_exact_quantiles_hot_values_and_small_groups(spark):
         np.testing.assert_allclose(got[g], np.quantile(xs, probs), rtol=0, atol=1e-12)
 
 
+def test_exact_quantiles_read_one_set_of_cut_points(spark):
+    """Two runs of the sketch can differ on a cluster; counts of one and sizes of the other then lose positions."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("v"))
+    plan = ranks.exact_quantiles(df, ["g"], "v", [0.25, 0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
 def test_group_running_min_and_sum(spark):
     data = rows_with_hot_key()
     df = spark.createDataFrame(data, "g int, id int, k int, v double")
