@@ -25,6 +25,18 @@ def test_group_rank_matches_sorted_order(spark):
         assert {r["n"] for r in mine} == {len(want)}
 
 
+def test_small_group_rank_cuts_only_large_groups(spark):
+    data = [*rows_with_hot_key(), *[(None, 10_000 + i, i % 5, 0.0) for i in range(40)]]
+    df = spark.createDataFrame(data, "g int, id int, k int, v double")
+    want = sorted(map(tuple, ranks.group_rank(df, ["g"], ["k", "id"], F.col("k"), total="n").select("id", "rank", "n").collect()))
+    for most in (30, 500, 100_000):  # some null, some hot, none are cut
+        got = ranks.small_group_rank(df, ["g"], ["k", "id"], F.col("k"), total="n", most=most)
+        assert got.columns == [*df.columns, "rank", "n"]
+        assert sorted(map(tuple, got.select("id", "rank", "n").collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_ranked_rows_are_never_broadcast(spark, tmp_path):
     """Files make a table look small that is large in memory; only the sizes of the buckets may be sent."""
     spark.range(1000).select("id", (F.col("id") % 7).alias("k")).write.parquet(str(tmp_path / "rows"))
