@@ -1,8 +1,8 @@
 """Quality of texts by an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-Counts are summed within tasks, then over shards by n-gram. Continuation counts, contexts and probabilities of each order come
-from joins of these count tables. Characters fall into CLASSES classes, so a table of order ORDER has at most CLASSES**ORDER
-entries whatever the corpus; that bound makes it fit for a broadcast to the tasks that score whole texts.
+The model is that of `ngrams`: characters as they are, counts and probabilities joined by n-gram with the texts they score.
+`class_table`, `grams`, `gram_counts` and `log_table` are a coarser model over CLASSES classes of characters, whose table has at
+most CLASSES**ORDER entries; nothing here judges by it.
 
 A text's perplexity is held against its language's threshold, a quantile over trusted texts that were kept from training.
 Short texts give uncertain perplexities, so one is rejected only where it lies beyond the threshold by MARGIN standard errors.
@@ -16,16 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from bandweave.llm.ngrams import ORDER, chunks, discounts, perplexities
 from bandweave.session import materialize
 
-ORDER, CLASSES = 4, 48
+CLASSES = 48
 QUANTILE, MARGIN = 0.99, 4.0
 # Trusted texts a language needs for a threshold of its own, and the part of trusted texts kept for thresholds.
 LEAST, HELD = 50, 5
 STEP = 0.001  # thresholds are exact to this step of log perplexity
-CHUNK = 1 << 20
 
 
 @functools.cache
@@ -66,29 +65,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return number[inside[:-1] > 0], sizes
 
 
-def _chunks(texts: list[str | None]):
-    some: list[str] = []
-    rows: list[int] = []
-    size = 0
-    for i, x in enumerate(texts):
-        if x:
-            if some and size + len(x) > CHUNK:
-                yield rows, some
-                some, rows, size = [], [], 0
-            some.append(x)
-            rows.append(i)
-            size += len(x)
-    if some:
-        yield rows, some
-
-
 def gram_counts(texts: DataFrame) -> DataFrame:
     """g, c: counts of the n-grams in a table of one text column."""
 
     def run(batches):
         total = np.zeros(CLASSES**ORDER, np.int64)
         for batch in batches:
-            for _, some in _chunks(batch.column(0).to_pylist()):
+            for _, some in chunks(batch.column(0).to_pylist()):
                 total += np.bincount(grams(some)[0], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["g", "c"])
@@ -96,16 +79,6 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Published estimates from the numbers of n-grams seen once to four times; 0.75 where these don't suffice."""
-    n1, n2, n3, n4 = counts.agg(*(F.count_if(F.col("c") == i) for i in (1, 2, 3, 4))).first()
-    if not (n1 and n2 and n3):
-        return 0.75, 0.75, 0.75
-    y = n1 / (n1 + 2 * n2)
-    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(found))
-
-
 def log_table(counts: DataFrame) -> np.ndarray:
     """Log probability of the last character of each n-gram given the others, from the n-gram counts of trusted text."""
     tables = {ORDER: materialize(counts, "ngrams")}
@@ -115,7 +88,7 @@ def log_table(counts: DataFrame) -> np.ndarray:
     dense = np.full(1, 1.0 / CLASSES)
     probability = None
     for n in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(tables[n])
+        d1, d2, d3 = discounts(tables[n])
         off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         rows = tables[n].withColumn("h", F.expr(f"g div {CLASSES}"))
         contexts = rows.groupBy("h").agg(F.sum("c").alias("total"), F.sum(F.least(off, F.col("c"))).alias("left"))
@@ -137,30 +110,6 @@ def log_table(counts: DataFrame) -> np.ndarray:
     return np.log(dense).astype(np.float32)
 
 
-def perplexities(docs: DataFrame, table: np.ndarray, columns: list[str], text_col: str = "text") -> DataFrame:
-    """`columns` with n_chars_scored, mean (log perplexity) and error (its standard error); null where the text is null or empty."""
-    held = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches):
-        logs = held.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            size = np.zeros(len(texts), np.int64)
-            mean, error = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
-            for rows, some in _chunks(texts):
-                number, sizes = grams(some)
-                loss = -logs[number].astype(np.float64)
-                starts = np.cumsum(sizes) - sizes
-                first = np.add.reduceat(loss, starts) / sizes
-                second = np.add.reduceat(loss * loss, starts) / sizes
-                size[rows], mean[rows], error[rows] = sizes, first, np.sqrt(np.maximum(second - first * first, 0.01) / sizes)
-            none = size == 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size), pa.array(mean, mask=none), pa.array(error, mask=none)], names=[*columns, "n_scored", "mean", "error"])
-
-    more = [StructField("n_scored", LongType()), StructField("mean", DoubleType()), StructField("error", DoubleType())]
-    return docs.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, StructType([*(docs.schema[c] for c in columns), *more]))
-
-
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
     """lang, limit: the quantile of `mean` by language, for languages with enough rows, and over all rows as a row with `pooled` true."""
     steps = scored.where("mean is not null").select("lang", F.round(F.col("mean") / STEP).cast("long").alias("step"))
@@ -172,18 +121,15 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, least: int = LEAST
     return found.where(F.col("pooled") | (F.col("all") >= least)).select("pooled", "lang", "limit")
 
 
-def _fitted(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, DataFrame, DataFrame, float | None]:
-    """Log table, scores by row (id, lang, n_scored, mean, error), thresholds by language, threshold over all."""
+def _fitted(docs: DataFrame, trusted: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, float | None]:
+    """Scores by row of `docs` (id, lang, text and others): `columns`, n_scored, mean, error; thresholds by language; threshold over all."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct()
     ids = ids.withColumn("_held", F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(HELD)) == 0)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(ids.where("not _held").hint("merge"), "_id", "left_semi").select("_text")
-    table = log_table(gram_counts(texts))  # trusted ids grow with the corpus, so they are never broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    scored = materialize(perplexities(rows, table, ["id", "lang"]), "scored")
-    known = scored.join(ids.where("_held").select(F.col("_id").alias("id")), "id", "left_semi")
+    scored = perplexities(docs, ids.where("not _held").select("_id"), columns, "id", "text")
+    known = scored.select("id", "lang", "mean").join(ids.where("_held").select(F.col("_id").alias("id")), "id", "left_semi")
     limits = materialize(thresholds(known), "thresholds")
     own = limits.where("not pooled and lang is not null").select("lang", F.col("limit").alias("_own"))  # one row a language
-    return table, scored, own, limits.where("pooled").agg(F.max("limit")).first()[0]
+    return scored, own, limits.where("pooled").agg(F.max("limit")).first()[0]
 
 
 def _judged(scored: DataFrame, own: DataFrame, pooled: float | None) -> DataFrame:
@@ -200,14 +146,16 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     trusted text every other document is kept and its threshold is null. Rows that share an id are judged each; a trusted id
     stands for all of its rows.
     """
-    _, scored, own, pooled = _fitted(docs, trusted, id_col, text_col, lang_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    scored, own, pooled = _fitted(rows, trusted, ["id", "lang"])
     out = _judged(scored, own, pooled)
     return out.select(F.col("id").alias(id_col), "lang", "n_scored", F.exp("mean").alias("perplexity"), F.exp("_limit").alias("threshold"), F.col("_keep").alias("keep"))
 
 
 def kept(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs`, with all their columns, that `judge` keeps. Texts are scored where they lie and not shuffled."""
-    table, _, own, pooled = _fitted(docs, trusted, id_col, text_col, lang_col)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    judged = _judged(perplexities(rows, table, ["_row", "lang"]), F.broadcast(own), pooled)
-    return judged.where("_keep").select("_row.*")
+    """The rows of `docs`, with all their columns, that `judge` keeps."""
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), others.alias("_row"), F.col(text_col).alias("text"))
+    scored, own, pooled = _fitted(rows, trusted, ["id", "lang", "_row", "text"])
+    judged = _judged(scored, F.broadcast(own), pooled).where("_keep")
+    return judged.select(*(F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns))

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bandweave.llm import bpe, jaccard, langid, packing, quality, sentences, suffixes
+from bandweave.llm import bpe, jaccard, langid, ngrams, packing, quality, sentences, suffixes
 from bandweave.llm.components import components
 from bandweave.llm.tokens import library_encoder, piece_finder, rank_file
 
@@ -411,6 +412,66 @@ def test_quality_judges_and_keeps(spark, docs):
     assert quality.judge(rows.limit(0), trusted).count() == 0
 
 
+def test_quality_model_knows_each_character(spark, monkeypatch):
+    """Perplexities against plain Kneser-Ney over real characters, over several blocks, and with pairs in place of characters."""
+    rng = random.Random(7)
+    texts = [prose(rng, 30) for _ in range(12)] + ["Aa 12 12 Ωω", "x", "", None, "\x00 y\n", "BCD BCD 99"]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "id long, text string, lang string").repartition(2)
+    trained = [*range(8), 12]
+    ids = spark.createDataFrame([(i,) for i in trained], "_id long")
+    counts = {4: collections.Counter()}
+    for i in trained:
+        x = "   " + texts[i]
+        counts[4].update(x[j : j + 4] for j in range(len(texts[i])))
+    for m in (3, 2, 1):
+        counts[m] = collections.Counter(g[1:] for g in counts[m + 1])
+    off = {}
+    for m, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+        off[m] = [0.75] * 3
+        if n1 and n2 and n3:
+            y = n1 / (n1 + 2 * n2)
+            off[m] = [min(max(d, 0.05), i + 0.95) for i, d in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
+
+    def p(g):
+        m = len(g)
+        if m == 0:
+            return 1 / (len(counts[1]) + 1)
+        seen = {x: v for x, v in counts[m].items() if x[:-1] == g[:-1]}
+        if not seen:
+            return p(g[1:])
+        cut = {x: min(off[m][min(v, 3) - 1], v) for x, v in seen.items()}
+        return (seen.get(g, 0) - cut.get(g, 0) + sum(cut.values()) * p(g[1:])) / sum(seen.values())
+
+    for block, direct in ((ngrams.BLOCK, ngrams.DIRECT), (400, ngrams.DIRECT), (400, 2)):
+        monkeypatch.setattr(ngrams, "BLOCK", block)
+        monkeypatch.setattr(ngrams, "DIRECT", direct)
+        monkeypatch.setattr(ngrams, "CHUNK", 300)
+        got = {r.id: r for r in ngrams.perplexities(docs, ids, ["id"], "id", "text").collect()}
+        assert set(got) == set(range(len(texts)))
+        for i, x in enumerate(texts):
+            assert got[i].n_scored == len(x or "")
+            if x:
+                padded = "   " + x
+                mean = -sum(math.log(p(padded[j : j + 4])) for j in range(len(x))) / len(x)
+                assert math.isclose(got[i].mean, mean, rel_tol=1e-4)
+            else:
+                assert got[i].mean is None and got[i].error is None
+
+
+def test_quality_tells_letters_of_one_class_apart(spark):
+    """Capitals, digits and letters beyond a-z that trusted texts never hold."""
+    rng = random.Random(8)
+    swap = str.maketrans("ABCDEFGHIJKLM0123", "ZYXWVUTSRQPON9876")
+    words = ["ABLE", "BAKE", "CAGE", "DICE", "EDGE", "FADE", "GLAD", "HIDE", "LIME", "MILK", "10", "203", "31"]
+    clean = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(300)]
+    odd = [(1000 + i, clean[i][1].translate(swap), "en") for i in range(10)]
+    rows = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(280)], "doc_id long")
+    kept = {r.doc_id for r in quality.kept(rows, trusted).collect()}
+    assert kept == set(range(300))
+
+
 def test_pipeline_stages_hold_together(spark, tmp_path):
     import corpus_pipeline
 
