@@ -170,3 +170,37 @@ def test_scalers(spark):
         if kind == "yeo_johnson":
             assert abs(table(t, "t")[:, 2].mean()) < 1e-9
             assert table(t, "t")[:, 2].std() == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("limits", [(1024, 1_000_000), (4, 1_000_000), (4, 6)])
+def test_features_of_bands_side_by_side(spark, monkeypatch, limits):
+    """The same values as from a row for each band, by every route; null values, masks and fields without a mean included."""
+    monkeypatch.setattr(fe, "LIST_PIXELS", limits[0])
+    monkeypatch.setattr(fe, "CHUNK_PIXELS", limits[1])
+    rng = np.random.default_rng(3)
+    wide = []
+    for key, (h, w) in {1: (2, 2), 2: (3, 5), 3: (1, 9), 4: (1, 1), None: (2, 2)}.items():
+        for x, y in np.ndindex(h, w):
+            mask = True if key == 4 else [False, False, True, None][int(rng.integers(4))]
+            values = [float(v) for v in rng.normal(size=3)]
+            if key == 1 and x == 0:
+                values[1] = None
+            wide.append((key, x * w + y, x, y, mask, values))
+    rows = spark.createDataFrame(wide, "sample_index bigint, px bigint, x bigint, y bigint, masked boolean, bands array<double>")
+    long = pixels.by_band(rows)
+    one, two = ({(r["sample_index"], r["band"]): r["sigma"] for r in fe.singular_profile(x).collect()} for x in (rows, long))
+    assert one.keys() == two.keys() and len(one) == 12
+    for key, sigma in one.items():
+        np.testing.assert_allclose(sigma, two[key], atol=1e-9)
+    one, two = ({r["sample_index"]: r for r in fe.features(x, "knn").collect()} for x in (rows, long))
+    assert one.keys() == two.keys() == {1, 2, 3, 4}
+    for key, row in one.items():
+        for block in fe.BLOCKS["knn"]:
+            np.testing.assert_allclose(row[block], two[key][block], atol=1e-9)
+
+
+def test_a_profile_of_rows_that_lie_by_field_needs_no_shuffle(spark):
+    rows = spark.createDataFrame([(k, x, 0, False, [1.0 + k, 2.0 * x]) for k in range(20) for x in range(3)], "sample_index bigint, x bigint, y bigint, masked boolean, bands array<double>")
+    lie = rows.repartition(4, "sample_index")
+    plan = fe.singular_profile(lie)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
