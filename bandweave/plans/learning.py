@@ -449,8 +449,9 @@ def m12c(t):
 @query("m13_hybrid")
 def m13(t):
     """Nearest neighbours for small fields, a forest for large ones; size is that of the order's field."""
-    edges = px.field_size(v.pixel_rows(t)).select("sample_index", "edge")
-    rows = scored_curves(t).join(edges, "sample_index")
+    rows = scored_curves(t)
+    edges = px.field_size(v.pixel_rows(t, of=rows)).select("sample_index", "edge")
+    rows = rows.hint("shuffle_hash").join(edges, "sample_index")  # rows in the order of their fields: the forests draw by place
     train, test = rows.where("fold <> 0"), rows.where("fold = 0")
     return mo.hybrid_predict(train, test, limit=2.0, k=25, trees=10, depth=5, seed=42)
 

@@ -24,8 +24,9 @@ def pixel_values(t) -> DataFrame:
     )
 
 
-def pixel_rows(t, full: bool = False) -> DataFrame:
-    """One row per pixel with its place in the field; bands still side by side.
+def pixel_rows(t, full: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """One row per pixel with its place in the field; bands still side by side. With `of`, of the fields it names alone,
+    whose lines are picked once and written.
 
     The width is the side of the smallest square that holds the field, which may leave the last row short, or with `full`
     the largest divisor of the pixel count up to its root, so that every field is a full rectangle.
@@ -38,6 +39,8 @@ def pixel_rows(t, full: bool = False) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("masked"),
         F.array("l_quantity", "l_extendedprice", "l_discount", F.col("l_tax") + F.lit(0.0)).alias("bands"),
     )
+    if of is not None:
+        lines = materialize(lines.join(of.select("sample_index"), "sample_index", "left_semi"), "lines")
     bucket = F.struct("l_linenumber", F.floor(F.col("l_partkey") / 4096).alias("part_range"))
     ranked = small_group_rank(
         lines, ["sample_index"], ["l_linenumber", "l_partkey", "l_suppkey"], bucket, name="px", total="n"

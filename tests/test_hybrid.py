@@ -90,3 +90,20 @@ def test_training_rows_hold_fields_and_crops(spark):
         assert r["crop"] == (i < 0) and r["edge"] == 4.0
         assert r["K"] == pytest.approx(0.2 if of == 1 else 0.6, rel=0.0011)
         assert len(r["near_features"]) == 11 * 150 and len(r["forest_features"]) == len(got[1]["forest_features"])
+
+
+def test_pixels_of_named_fields_read_their_lines_once(spark, tmp_path):
+    """Places in the field are those among all fields, and the lines of other fields are not ranked; null and repeated names do no harm."""
+    from bandweave.plans import views
+    from bandweave.plans.registry import Tables
+
+    lines = [(k, line, 100 - line, 1, float(line), 2.0, 0.1, 0.0, "R" if line % 3 else "N") for k in range(30) for line in range(1 + k % 7)]
+    lines.append((None, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "R"))
+    schema = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Tables(spark, str(tmp_path))
+    of = spark.createDataFrame([(6,), (6,), (13,), (None,), (999,)], "sample_index bigint")
+    some = views.pixel_rows(t, of=of)
+    assert not any("lineitem" in name for name in some.inputFiles())
+    want = views.pixel_rows(t).where("sample_index in (6, 13)")
+    assert sorted(map(str, some.collect())) == sorted(map(str, want.collect())) and some.count() == 14
