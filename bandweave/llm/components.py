@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandweave.session import materialize
+from bandweave.session import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,10 +27,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for each node that a link names: root is the least node reachable. `links`: a, b (long)."""
-    edges = materialize(links.where("a <> b").select("a", "b").distinct(), "links")
+    edges = materialize(links.where("a <> b").select("a", "b").distinct(), "links", clean=True)
     state = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "links")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "links", clean=True)
+        release(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if now == state:
             break
