@@ -20,11 +20,13 @@ from bandweave.session import materialize
 CANDIDATES, QUERIES, BINS, SLICE = 16384, 512, 256, 64
 
 
-def _pairs(queries: DataFrame, candidates: DataFrame, blocks: int) -> DataFrame:
-    """Each query block beside each candidate block of the same vector length, spread over tasks by both."""
-    spread = candidates.join(queries.groupBy("dim").agg(F.collect_set("part").alias("_parts")), "dim")
-    spread = spread.withColumn("part", F.explode("_parts")).drop("_parts")
-    return queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(spread, ["dim", "block", "part"])
+def _pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Each query block beside each candidate block of the same vector length.
+
+    A task reads some files of one table against some of the other: blocks are neither shuffled nor copied, and never go through
+    the driver, as a broadcast of them would, which is chosen by the size of their files and is many times that in memory.
+    """
+    return candidates.join(queries.hint("shuffle_replicate_nl"), "dim")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -43,7 +45,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     bound = int(np.sqrt(largest or 0.0) * np.sqrt(asked_largest or 0.0)) + 1  # no score lies further from 0
     candidates = materialize(pack(base.withColumn("block", share("id", F.lit(blocks))), ["dim", "block"], "c"), "topk-candidates")
     packed = materialize(pack(asked.withColumn("part", share("id", F.lit(parts))), ["dim", "part"], "q"), "topk-queries")
-    pairs = _pairs(packed, candidates, blocks)
 
     def scores(ids, v, other_ids, other_v):
         for at in range(0, len(ids), SLICE):
@@ -68,9 +69,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
 
     def with_state(state):
         if state is None:
-            return pairs
+            return _pairs(packed, candidates)
         rows = state.withColumn("v", F.array(F.col("low").cast("double"), F.col("above").cast("double"))).withColumn("part", share("id", F.lit(parts)))
-        return pairs.join(pack(rows, ["dim", "part"], "s"), ["dim", "part"])
+        ready = packed.hint("merge").join(pack(rows, ["dim", "part"], "s"), ["dim", "part"])
+        return _pairs(materialize(ready, "topk-asked"), candidates)
 
     dims = materialize(asked.select("id", "dim"), "topk-ids")
     width, state = 2 * bound + 1, None
