@@ -246,7 +246,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, columns: list[str], id_col
     schema = StructType([*fields, StructField("n_scored", LongType()), StructField("mean", DoubleType()), StructField("error", DoubleType())])
     parts = min(max(blocks.count(), 1), PARTS)  # named, as the blocks are small as files and much work
     left, right = (x.repartition(parts, "block").groupBy("block") for x in (blocks.select("block", "rows"), answers))
-    scored = materialize(left.cogroup(right).applyInArrow(run, schema), "scored")
+    scored = materialize(left.cogroup(right).applyInArrow(run, schema), "scored", codec="zstd")
     for one in (blocks, lists, p):
         release(one)
     return scored
