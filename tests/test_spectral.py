@@ -204,3 +204,17 @@ def test_a_profile_of_rows_that_lie_by_field_needs_no_shuffle(spark):
     lie = rows.repartition(4, "sample_index")
     plan = fe.singular_profile(lie)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_bands_of_a_field_stay_on_the_shuffle_that_gathers_it(spark):
+    rows = [(s, i, i // 2, i % 2, i == 3, [float(s + i), float(i), 0.0, None if i == 1 else 0.5]) for s in range(3) for i in range(4)]
+    pixels = spark.createDataFrame(rows, "sample_index long, px long, x long, y long, masked boolean, bands array<double>")
+    wide = fe.features(pixels, "tuned")
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    long = fe.features(pixels.select("sample_index", "px", "x", "y", "masked", F.posexplode("bands").alias("band", "value")), "tuned")
+    both = [{r["sample_index"]: r for r in x.collect()} for x in (wide, long)]
+    assert both[0].keys() == both[1].keys() == {0, 1, 2}
+    for s, row in both[0].items():
+        for c in fe.BLOCKS["tuned"]:
+            a, b = (np.array([np.nan if x is None else x for x in r[c]]) for r in (row, both[1][s]))
+            assert np.allclose(a, b, equal_nan=True), (s, c)
